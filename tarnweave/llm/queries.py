@@ -10,6 +10,30 @@ from pyspark.sql import functions as F
 from tarnweave.session import table
 
 
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    from tarnweave.llm.langid import fit_filters, language_segments
+
+    filters = fit_filters(table(spark, sf, "documents"))
+    stored = table(spark, sf, "crawl_records").where(F.col("outcome") == "stored")
+    return language_segments(stored, filters, id_col="seq", text_col="extracted_text")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    from tarnweave.llm.langid import unhinted_languages
+
+    return unhinted_languages(_segments(spark, sf), table(spark, sf, "lang_hints"), id_col="seq", hint_col="lang_hint")
+
+
+def p3_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return _segments(spark, sf)
+
+
+def p3_languages(spark: SparkSession, sf: str) -> DataFrame:
+    from tarnweave.llm.langid import document_languages
+
+    return document_languages(_segments(spark, sf), "seq")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from tarnweave.llm.neardup import near_duplicate_pairs
 
@@ -64,7 +88,24 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf)[1]
 
 
-NAMES = ["p4_found", "p4_groups", "p7_terms", "p7_found", "p8_leaks", "p8_found", "p9_mixture", "p9_shares"]
+def _endings(spark: SparkSession, sf: str) -> DataFrame:
+    from tarnweave.llm.truncation import ending_scores, language_bucket
+
+    return ending_scores(table(spark, sf, "documents"), language=language_bucket(F.col("lang")), keep=["source"])
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _endings(spark, sf).where("truncated").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    from tarnweave.llm.mixing import source_name
+    from tarnweave.llm.truncation import truncation_rates
+
+    return truncation_rates(_endings(spark, sf), F.coalesce(source_name(F.col("source")), F.lit("(none)")))
+
+
+NAMES = ["p3_found", "p3_segments", "p3_languages", "p4_found", "p4_groups", "p7_terms", "p7_found", "p8_leaks", "p8_found", "p9_mixture", "p9_shares", "p10_found", "p10_rates"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
