@@ -5,12 +5,12 @@ and in blocks, and the product's entries are overlap counts. What keeps the prod
 a bound that follows from the sizes of the two sets alone:
 
 * All n-grams are brought into one global order, rarest first. For a Jaccard similarity of at
-  least t, two sets share an element within the first ``n - ceil(t*n) + 1`` of their elements,
-  so only those columns of A are multiplied. Any global order gives the same result; rarity
-  comes from a count sketch of bounded size, taken over all documents.
-* Entries are accumulated per pair. If the prefixes of x and y share c elements, the whole
-  sets share at most ``c + max(suffix of x, suffix of y)``; pairs for which that is below
-  ``t/(1+t) * (|x|+|y|)`` are discarded.
+  least t, the larger of two sets shares at least l elements with the smaller one within its
+  first ``|y| - ceil(t*|y|) + l`` elements, which in the smaller one are among the first
+  ``|x| - ceil(2t/(1+t)*|x|) + l``. Only those entries of A are multiplied. Any global order
+  gives the same result; rarity comes from a count sketch of bounded size, over all documents.
+* Pairs whose sizes differ by more than t allows are left out of the product; of the others the
+  overlap counts are accumulated, and pairs below l are discarded.
 * What is left is verified exactly on the full sets.
 
 Texts with the same words are one class and enter the product once.
@@ -28,10 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm.counters import SCHEMA, packed, summed
-from tarnweave.llm.words import WordHasher, ngram_hashes, split_words
+from tarnweave.llm.words import WordHasher, mix, ngram_hashes, split_words
 from tarnweave.session import cut
 
 SKETCH_BITS = 22
+#: Prefixes are lengthened so that a pair must share so many elements in them.
+COMMON = 4
+#: Entries of a column that are multiplied in one place, and pairs built at a time.
+CELL_ROWS, PRODUCT_STEP = 4096, 1_000_000
 _FIXED = 1e-9
 
 
@@ -76,31 +80,108 @@ def _sketch(docs: DataFrame, n: int, min_words: int) -> np.ndarray:
 
 
 def _prefix_rows(docs: DataFrame, n: int, min_words: int, t: float, sketch) -> DataFrame:
-    """(k, doc, size): the rarest n-grams of each set, as many as the bound asks for.
+    """(cell, k, doc, size, head): the rarest n-grams of each set, as many as the bound asks for.
 
     ``k`` identifies the n-gram (44 hash bits and its sketch count, which is a function of the
-    hash). An n-gram whose sketch count is 1 occurs in no other document and is left out.
+    hash). ``head``: it is in the shorter prefix that suffices for the smaller set of a pair.
+    An n-gram whose sketch count is 1 occurs in no other document and is left out. A column with
+    more than CELL_ROWS expected entries is cut into blocks of documents, and each entry goes to
+    every cell (block, block) of its row, so that no task gets a whole hot column.
     """
-    schema = pa.schema([("k", pa.int64()), ("doc", pa.int64()), ("size", pa.int32())])
+    schema = pa.schema([("cell", pa.int64()), ("k", pa.int64()), ("doc", pa.int64()), ("size", pa.int32()), ("head", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = WordHasher(), sketch.value
         for batch in batches:
-            ids, ks, docs_, sizes = batch.column(0).to_pylist(), [], [], []
+            ids, ks, docs_, sizes, heads = batch.column(0).to_pylist(), [], [], [], []
             for i, _, grams in _word_sets(batch.column(1).to_pylist(), n, min_words, hasher):
                 size = len(grams)
                 est = counts[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-                key = (np.minimum(est, 0x7FFFF) << np.uint64(44)) | ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20))
-                take = size - math.ceil(t * size - _FIXED) + 1
-                key = np.sort(key)[:take] if take < size else key
-                key = key[(key >> np.uint64(44)) > 1]
-                ks.append(key.astype(np.int64))
-                docs_.append(np.full(len(key), ids[i], dtype=np.int64))
-                sizes.append(np.full(len(key), size, dtype=np.int32))
-            if ks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array(np.concatenate(docs_)), pa.array(np.concatenate(sizes))], schema=schema)
+                with np.errstate(over="ignore"):
+                    key = np.sort((np.minimum(est, 0x7FFFF) << np.uint64(44)) | ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)))
+                least = min(COMMON, math.ceil(t * size - _FIXED))
+                key = key[: size - math.ceil(t * size - _FIXED) + least]
+                head = np.arange(len(key)) < size - math.ceil(2 * t / (1 + t) * size - _FIXED) + least
+                many = (key >> np.uint64(44)) > 1
+                ks.append(key[many].astype(np.int64))
+                heads.append(head[many])
+                docs_.append(np.full(int(many.sum()), ids[i], dtype=np.int64))
+                sizes.append(np.full(int(many.sum()), size, dtype=np.int32))
+            if not ks:
+                continue
+            k, doc, size, head = (np.concatenate(x) for x in (ks, docs_, sizes, heads))
+            blocks = 1 + (k >> 44) // CELL_ROWS
+            cell = np.zeros(len(k), dtype=np.int64)
+            hot = np.flatnonzero(blocks > 1)
+            if len(hot):
+                times = blocks[hot]
+                own = _block(doc[hot], times)
+                at, me, count = np.repeat(hot, times), np.repeat(own, times), np.repeat(times, times)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                pair_cell = 1 + np.minimum(me, other) * count + np.maximum(me, other)
+                keep = np.flatnonzero(blocks == 1)
+                k, doc, size, head = (np.concatenate([x[keep], x[at]]) for x in (k, doc, size, head))
+                cell = np.concatenate([cell[keep], pair_cell])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(k), pa.array(doc), pa.array(size), pa.array(head)], schema=schema)
+
+    return docs.mapInArrow(run, "cell long, k long, doc long, size int, head boolean")
+
+
+def _block(doc: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """The block of a document in a column that is cut into ``blocks``."""
+    return (mix(doc.astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+
+
+def _product(rows: DataFrame, t: float) -> DataFrame:
+    """(x, y, least): an entry for each common prefix element of two documents, x having the smaller set.
+
+    ``least`` is how many the pair must have: COMMON, or what a very small set can have.
+
+    Entries of one column and cell lie together in a partition. Within it the pairs are built
+    by index arithmetic, in steps of bounded size.
+    """
+    together = rows.repartition("cell", "k").sortWithinPartitions("k", "cell", "size", "doc")
+
+    def pairs_of(k, cell, doc, size, head) -> Iterator[pa.RecordBatch]:
+        n = len(k)
+        if n < 2:
+            return
+        last = np.append(np.flatnonzero((k[1:] != k[:-1]) | (cell[1:] != cell[:-1])) + 1, n)
+        end = last[np.searchsorted(last, np.arange(n), "right")]
+        times = np.where(head, end - np.arange(n) - 1, 0)
+        start = 0
+        steps = np.cumsum(times)
+        least = np.minimum(COMMON, np.ceil(t * size - _FIXED)).astype(np.int8)
+        while start < n:
+            base = steps[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(steps, base + PRODUCT_STEP, "right")))
+            own = times[start:stop]
+            left = np.repeat(np.arange(start, stop), own)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
+            ok = (size[left] >= size[right] * t - _FIXED) & (doc[left] != doc[right])
+            blocks = 1 + (k[left] >> 44) // CELL_ROWS
+            if (blocks > 1).any():
+                a, b = _block(doc[left], blocks), _block(doc[right], blocks)
+                ok &= (blocks == 1) | (1 + np.minimum(a, b) * blocks + np.maximum(a, b) == cell[left])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[left[ok]]), pa.array(doc[right[ok]]), pa.array(least[left[ok]])], names=["x", "y", "least"])
+            start = stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "cell", "doc", "size", "head")]
+            if rest is not None:
+                now = [np.concatenate([x, y]) for x, y in zip(rest, now, strict=True)]
+            k, cell = now[0], now[1]
+            if not len(k):
+                continue
+            whole = int(np.flatnonzero((k != k[-1]) | (cell != cell[-1])).max(initial=-1)) + 1
+            yield from pairs_of(*[x[:whole] for x in now])
+            rest = [x[whole:] for x in now]
+        if rest is not None:
+            yield from pairs_of(*rest)
 
-    return docs.mapInArrow(run, "k long, doc long, size int")
+    return together.mapInArrow(run, "x long, y long, least byte")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: float) -> DataFrame:
@@ -152,18 +233,13 @@ def similar_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int = 5,
     members = keyed.join(reps.where("copies > 1"), "text_key").select("doc", "rep").distinct()
     members = cut(members)
     dropped = members.where("doc <> rep").select("doc")
-    unique = base.join(dropped, "doc", "left_anti").dropDuplicates(["doc"])
+    # Repeated rows of one id may stay: they raise a count that only chooses what is verified.
+    unique = base.join(dropped, "doc", "left_anti")
     sketch = spark.sparkContext.broadcast(_sketch(base.select("text"), n, min_words))
     rows = _prefix_rows(unique, n, min_words, threshold, sketch)
-    left, right = rows.alias("l"), rows.alias("r")
-    ln, rn = F.col("l.size"), F.col("r.size")
-    ordered = (ln < rn) | ((ln == rn) & (F.col("l.doc") < F.col("r.doc")))
-    product = left.join(right, (F.col("l.k") == F.col("r.k")) & ordered & (ln >= rn * F.lit(threshold) - F.lit(_FIXED)))
-    overlap = product.groupBy(F.col("l.doc").alias("x"), F.col("r.doc").alias("y")).agg(F.count("*").alias("c"), F.first("l.size").alias("nx"), F.first("r.size").alias("ny"))
-    rest = F.greatest(F.ceil(F.col("nx") * threshold - _FIXED), F.ceil(F.col("ny") * threshold - _FIXED)) - 1
-    need = (F.col("nx") + F.col("ny")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)
-    candidates = overlap.where(F.col("c") + rest >= need).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    links = _verified(candidates, unique, n, threshold)
+    overlap = _product(rows, threshold).groupBy("x", "y").agg(F.count("*").alias("c"), F.max("least").alias("least"))
+    candidates = overlap.where("c >= least").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    links = _verified(candidates, unique, n, threshold).dropDuplicates(["a", "b"])
     return links, members
 
 
