@@ -72,9 +72,8 @@ def _plain(text: str) -> str:
     A capitalised word that isn't the first may be a name, which has no language.
     """
     words = _LETTERS.findall(text)
-    if sum(w[0].isupper() for w in words) * 2 > len(words) and text.upper() == text:
-        text = text.lower()
-        words = _LETTERS.findall(text)
+    if sum(len(w) > 1 and w.isupper() for w in words) > 3:  # set in capitals, not names
+        words = [w.lower() if w.isupper() else w for w in words]
     return " " + " ".join(w.lower() for i, w in enumerate(words) if i == 0 or not w[0].isupper()) + " "
 
 
@@ -158,7 +157,7 @@ class LanguageFilters:
             order = np.argsort(-share)
             first = share[order[0]]
             second = share[order[1]] if len(order) > 1 else 0.0
-            if n < 8 or first < 0.35:
+            if n < 8 or first < 0.5:
                 out.append((None, 0.0))
             else:
                 out.append((self.languages[order[0]], float(min(1.0, max(0.0, (first - second) / max(first, 1e-9))))))
