@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from tarnweave.session import table
 
 
+def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
+    from tarnweave.llm.stuffing import fit_prose_model, stuffing_scores
+
+    model = fit_prose_model(table(spark, sf, "documents"), text_col="text", language_col="lang")
+    stored = table(spark, sf, "crawl_records").where(F.col("outcome") == "stored")
+    return stuffing_scores(stored, model, id_col="seq", text_col="extracted_text", links_col="links")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_scores(spark, sf).where("stuffed").select("seq")
+
+
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
     from tarnweave.llm.langid import fit_filters, language_segments
 
@@ -105,7 +117,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation_rates(_endings(spark, sf), F.coalesce(source_name(F.col("source")), F.lit("(none)")))
 
 
-NAMES = ["p3_found", "p3_segments", "p3_languages", "p4_found", "p4_groups", "p7_terms", "p7_found", "p8_leaks", "p8_found", "p9_mixture", "p9_shares", "p10_found", "p10_rates"]
+NAMES = ["p2_scores", "p2_found", "p3_found", "p3_segments", "p3_languages", "p4_found", "p4_groups", "p7_terms", "p7_found", "p8_leaks", "p8_found", "p9_mixture", "p9_shares", "p10_found", "p10_rates"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
