@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 from tarnweave.session import table
 
 
+def p1_scores(spark: SparkSession, sf: str) -> DataFrame:
+    from tarnweave.llm.residue import residue_scores
+
+    return residue_scores(table(spark, sf, "crawl_records"), id_col="seq", text_col="extracted_text")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_scores(spark, sf).where("residue").select("seq")
+
+
+def p1_templates(spark: SparkSession, sf: str) -> DataFrame:
+    from tarnweave.llm.residue import mine_templates
+
+    return mine_templates(table(spark, sf, "crawl_records"), "extracted_text")
+
+
 def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
     from tarnweave.llm.stuffing import fit_prose_model, stuffing_scores
 
@@ -117,7 +133,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation_rates(_endings(spark, sf), F.coalesce(source_name(F.col("source")), F.lit("(none)")))
 
 
-NAMES = ["p2_scores", "p2_found", "p3_found", "p3_segments", "p3_languages", "p4_found", "p4_groups", "p7_terms", "p7_found", "p8_leaks", "p8_found", "p9_mixture", "p9_shares", "p10_found", "p10_rates"]
+NAMES = ["p1_scores", "p1_found", "p1_templates", "p2_scores", "p2_found", "p3_found", "p3_segments", "p3_languages", "p4_found", "p4_groups", "p7_terms", "p7_found", "p8_leaks", "p8_found", "p9_mixture", "p9_shares", "p10_found", "p10_rates"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
