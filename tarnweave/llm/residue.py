@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and script notices, by mining message templates.
 
 Every sentence of every record goes down a prefix tree of fixed depth: by its number of tokens,
-then by its first four tokens, variable ones (numbers, identifiers, addresses, names, slots)
+by its first four and its last three, variable ones (numbers, identifiers, addresses, slots)
 masked. A leaf keeps what its messages have in common, position by position; this merges in any
 order, so each partition grows a tree of its own and leaves are joined afterwards. A leaf is
 classified once, and the verdict goes to all sentences that lead to it.
@@ -47,37 +47,54 @@ LOREM = frozenset(
 PATTERNS = {
     "mention": r"replaced by the value|the value of a variable|marks a slot|format string|template engine|placeholder syntax|as filler since|used the words|page should|should tell visitors|open the settings and pick|how to (?:enable|write)|is written as",
     "filler": r"is a placeholder|placeholder for|replace this (?:paragraph|text)|sample text|dummy (?:content|text)|for layout only|your (?:headline|text|title|content) (?:goes )?here|goes here|text text text|asdf|qwerty|click edit to|page builder|description coming soon|coming soon,|add your (?:story|text|content) here|\btodo:|heading <\*>|heading 1 heading 2|just another site|platzhalter|texte? (?:de remplissage|d'exemple)|testo segnaposto|texto de (?:relleno|ejemplo|exemplo)|beispieltext|текст-заполнитель|здесь будет",
-    "script": r"javascript|(?:enable|activate|disable|switch on|run|need|without|runs?) (?:js|scripts?|scripting)\b|scripts are (?:disabled|off)|scripts to be switched|switch on scripting|turn it on in your browser|instructions for your browser|ad blocker|activate scripts|doesn't run scripts|ohne skripte|sans scripts|(?:sem|sin|senza) (?:ele|él|scripts?)\b.{0,30}(?:abre|funciona|funziona|página|pagina)|esta aplicación no funciona|cette page ne fonctionne|без него страница|a página não abre|reload the page|allow them and try again|cookies are (?:blocked|disabled)",
+    "script": r"javascript|(?:enable|activate|disable|switch on|run|need|without|runs?) (?:js|scripts?|scripting)\b|scripts are (?:disabled|off)|scripts to be switched|switch on scripting|turn it on in your browser|instructions for your browser|ad blocker|activate scripts|doesn't run scripts|ohne skripte|sans scripts|(?:sem|sin|senza) (?:ele|él|scripts?)\b.{0,30}(?:abre|funciona|funziona|página|pagina)|esta aplicación no funciona|cette page ne fonctionne|без него страница|a página não abre|reload the page|can't be shown without|allow them and try again|cookies are (?:blocked|disabled)",
     "error": r"\b(?:error|errore|erreur|erro|fehler|ошибка) (?:<\*>|\d{3})|\b[45]\d\d (?:not found|forbidden|bad gateway|internal server error|service unavailable|gateway timeout)|not found on this server|page you are looking for|we can't find|could not be found|page (?:has|was) moved|no longer exists|page not found|the requested (?:url|page|<\*>)|don't have permission|access (?:denied|to this)|forbidden|session has expired|log in again|something went wrong|try again later|temporarily unavailable|server is (?:busy|down)|down for maintenance|invalid answer|bad gateway|gateway|upstream|establishing a database|database connection|hosting provider|account has been suspended|fatal error|uncaught exception|stack trace|nullpointerexception|exception at|exception in|too many requests|you have been blocked|unusual traffic|that you are a human|security check|captcha|check that host|make sure the spelling|if you typed the address|back to the start page|use the search box|oops"
     r"|wurde nicht gefunden|nicht erreichbar|bitte versuchen|prüfen sie die|gehen sie zur|später noch einmal|kann der inhalt nicht|introuvable|vérifiez l'adresse|revenez à|indisponible|merci de réessayer|réessayer|no encontrada|no se (?:ha encontrado|encuentra)|no existe|compruebe la dirección|no está disponible|inténtelo|não foi encontrada|confira o endereço|indisponível|não está disponível|tente (?:novamente|mais tarde)|non esiste|non (?:è stata trovata|trovata)|controlla l'indirizzo|non (?:è )?disponibile|riprova|riprovare|не найдена|проверьте адрес|недоступ|попробуйте|повторите|activate it|(?:allow|turn) them",
-    "furniture": r"©|rights reserved|alle rechte vorbehalten|droits réservés|derechos reservados|direitos reservados|diritti riservati|права защищены|правила сайта|^(?:privacy|imprint|terms of use|impressum|datenschutz|nutzungsbedingungen|aviso legal|privacidad|privacidade|note legali|mentions légales|vie privée)\b|delivery not included|prices include tax|alle preise|precios con|prix taxes|prezzi|preços|only with written permission|small team of volunteers|cookies?\b|cookie policy|stores small files|your privacy matters|manage preferences|reject all|accept all|ok, got it|newsletter|never miss a story|enter your email|copy link|link kopieren|rundbrief|per mail|рассылку|все или изменить",
+    "furniture": r"©|rights reserved|alle rechte vorbehalten|droits réservés|derechos reservados|direitos reservados|diritti riservati|права защищены|правила сайта|(?:^|: )(?:privacy|imprint|terms of use|impressum|datenschutz|nutzungsbedingungen|aviso legal|privacidad|privacidade|note legali|mentions légales|vie privée)\b|delivery not included|prices include tax|alle preise|precios con|prix taxes|prezzi|preços|only with written permission|small team of volunteers|cookies?\b|cookie policy|stores small files|your privacy matters|manage preferences|reject all|accept all|ok, got it|newsletter|never miss a story|enter your email|copy link|link kopieren|rundbrief|per mail|рассылку|все или изменить",
     "code": r"^(?:code|ticket|ray|reference|request id|incident|vorgang|código|codice|код|référence)\b.{0,20}$",
 }
 _KINDS = {k: re.compile(p) for k, p in PATTERNS.items()}
 
 
+#: Usual entries of a site's menu (fixed values).
+MENU = (
+    "home|news|shop|forum|search|contact|help|events|topics|archive|newsletter|about us|log in|register|login|sign in|menu|startseite|nachrichten|laden|suche|kontakt|hilfe|termine|themen|archiv|über uns|anmelden"
+    "|accueil|actualités|boutique|recherche|aide|agenda|thèmes|archives|à propos|connexion|inicio|noticias|tienda|foro|buscar|contacto|ayuda|temas|archivo|quiénes somos|entrar"
+    "|pagina iniziale|notizie|negozio|cerca|contatti|aiuto|eventi|temi|archivio|chi siamo|accedi|página inicial|notícias|loja|fórum|contato|ajuda|eventos|arquivo|sobre nós"
+    "|главная|новости|магазин|форум|поиск|контакты|помощь|события|темы|архив|о нас|войти"
+)
+_MENU = re.compile(rf"^(?:\S+\s+){{0,3}}?(?:(?:{MENU})\s+){{2,}}", re.I)
+
+
 def messages(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text) if s.strip()]
+    """The sentences of a text; a menu before the first and a notice of rights after one are apart."""
+    out = []
+    for s in _SENTENCE.split(text):
+        menu = _MENU.match(s)
+        if menu:
+            out.append(s[: menu.end()])
+            s = s[menu.end() :]
+        head, sign, tail = s.partition("©")
+        out += [head, sign + tail]
+    return [s for s in out if s.strip()]
 
 
 def masked(sentence: str) -> list[str]:
     """Tokens of a sentence; what varies from one message to the next is masked."""
     out = []
-    for i, token in enumerate(_SLOT.sub(f" {SLOT} ", sentence).split()):
+    for token in _SLOT.sub(f" {SLOT} ", sentence).split():
         if token == SLOT:
             out.append(token)
         elif any(c.isdigit() for c in token) and not re.fullmatch(r"[45]\d\d\.?", token) or "/" in token or "@" in token:
             out.append(VARIABLE)
-        elif i and token[:1].isupper() and not token.isupper() and token.rstrip(".,:;!?") not in ("JavaScript", "Found", "Forbidden"):
-            out.append(VARIABLE)
         else:
             out.append(token)
     return out
 
 
 def leaf_of(tokens: list[str]) -> int:
-    """The leaf of the prefix tree: number of tokens, then the first DEPTH tokens."""
-    return xxhash.xxh3_64_intdigest("\x1f".join([str(len(tokens)), *tokens[:DEPTH]])) - (1 << 63)
+    """The leaf of the prefix tree: number of tokens, the first DEPTH tokens, then the last three."""
+    return xxhash.xxh3_64_intdigest("\x1f".join([str(len(tokens)), *tokens[:DEPTH], "", *tokens[DEPTH:][-3:]])) - (1 << 63)
 
 
 def in_common(a: list[str], b: list[str]) -> list[str]:
@@ -86,7 +103,7 @@ def in_common(a: list[str], b: list[str]) -> list[str]:
 
 def verdict(template: list[str], example: str) -> str | None:
     """The kind of a template, decided once: what it says about places to fill comes first."""
-    said = " ".join(template).lower().replace("’", "'")
+    said = " ".join(template).lower().replace("’", "'").replace(SLOT, VARIABLE)
     shown = example.lower().replace("’", "'")
     if _KINDS["mention"].search(shown):
         return "mention"
@@ -94,9 +111,9 @@ def verdict(template: list[str], example: str) -> str | None:
     if len(words) >= 4 and sum(w in LOREM for w in words) >= 0.7 * len(words) and sum(len(w) > 4 and w in LOREM for w in words) >= 2:
         return "filler"
     for kind in ("filler", "script", "error", "code", "furniture"):
-        if _KINDS[kind].search(said) or (kind in ("script", "error") and _KINDS[kind].search(shown)):
+        if _KINDS[kind].search(said):
             return kind
-    return None
+    return "furniture" if _MENU.match(shown) else None
 
 
 def mine_templates(records: DataFrame, text_col: str) -> DataFrame:
