@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnweave.llm.samples import bounded_sample
+
 #: Cells of the filter (a power of two) and lookups per n-gram.
 BITS, HASHES = 20, 2
 SIZES = (3, 4, 5)
@@ -174,12 +176,12 @@ def sentences(text: str) -> list[str]:
 def fit_filters(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> LanguageFilters:
     """Filters from the ``sample`` texts of each language that come first by their hash."""
     code = hint_languages(F.col(label_col))
-    rows = labelled.where(F.col(text_col).isNotNull()).select(code.alias("codes"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).where(F.size("codes") == 1).select(F.col("codes")[0].alias("c"), "t", "h")
+    rows = labelled.where(F.col(text_col).isNotNull()).select(code.alias("codes"), F.col(text_col).alias("t")).where(F.size("codes") == 1).select(F.col("codes")[0].alias("c"), "t")
     texts: dict[str, list[str]] = {}
+    totals = {r.c: r.n for r in rows.groupBy("c").agg(F.count("*").alias("n")).collect()}  # a row per language
     for language in SPELLINGS:
-        own = rows.where(F.col("c") == language).orderBy("h").limit(sample).collect()  # at most ``sample`` rows
-        if own:
-            texts[language] = [r.t for r in own]
+        if language in totals:
+            texts[language] = [r.t for r in bounded_sample(rows.where(F.col("c") == language), "t", sample, totals[language]).collect()]
     return LanguageFilters.fit(texts)
 
 

@@ -77,6 +77,22 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_groups(records, id_col="seq", text_col="extracted_text", where=F.col("outcome") == "stored").withColumnRenamed("doc", "seq")
 
 
+def p6_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    from tarnweave.llm.boilerplate import main_blocks
+
+    return main_blocks(table(spark, sf, "page_contents"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_blocks(spark, sf).select("page_id", "block_md5").distinct()
+
+
+def p6_flat(spark: SparkSession, sf: str) -> DataFrame:
+    from tarnweave.llm.boilerplate import flat_main_text
+
+    return flat_main_text(table(spark, sf, "crawl_records"), id_col="seq", text_col="extracted_text")
+
+
 def p7_terms(spark: SparkSession, sf: str) -> DataFrame:
     from tarnweave.llm.vocab import marked_terms
 
@@ -133,7 +149,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation_rates(_endings(spark, sf), F.coalesce(source_name(F.col("source")), F.lit("(none)")))
 
 
-NAMES = ["p1_scores", "p1_found", "p1_templates", "p2_scores", "p2_found", "p3_found", "p3_segments", "p3_languages", "p4_found", "p4_groups", "p7_terms", "p7_found", "p8_leaks", "p8_found", "p9_mixture", "p9_shares", "p10_found", "p10_rates"]
+NAMES = ["p6_blocks", "p6_found", "p6_flat", "p1_scores", "p1_found", "p1_templates", "p2_scores", "p2_found", "p3_found", "p3_segments", "p3_languages", "p4_found", "p4_groups", "p7_terms", "p7_found", "p8_leaks", "p8_found", "p9_mixture", "p9_shares", "p10_found", "p10_rates"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

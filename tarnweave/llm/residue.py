@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -50,12 +51,58 @@ PATTERNS = {
     "script": r"javascript|(?:enable|activate|disable|switch on|run|need|without|runs?) (?:js|scripts?|scripting)\b|scripts are (?:disabled|off)|scripts to be switched|switch on scripting|turn it on in your browser|instructions for your browser|ad blocker|activate scripts|doesn't run scripts|ohne skripte|sans scripts|(?:sem|sin|senza) (?:ele|él|scripts?)\b.{0,30}(?:abre|funciona|funziona|página|pagina)|esta aplicación no funciona|cette page ne fonctionne|без него страница|a página não abre|reload the page|can't be shown without|allow them and try again|cookies are (?:blocked|disabled)",
     "error": r"\b(?:error|errore|erreur|erro|fehler|ошибка) (?:<\*>|\d{3})|\b[45]\d\d (?:not found|forbidden|bad gateway|internal server error|service unavailable|gateway timeout)|not found on this server|page you are looking for|we can't find|could not be found|page (?:has|was) moved|no longer exists|page not found|the requested (?:url|page|<\*>)|don't have permission|access (?:denied|to this)|forbidden|session has expired|log in again|something went wrong|try again later|temporarily unavailable|server is (?:busy|down)|down for maintenance|invalid answer|bad gateway|gateway|upstream|establishing a database|database connection|hosting provider|account has been suspended|fatal error|uncaught exception|stack trace|nullpointerexception|exception at|exception in|too many requests|you have been blocked|unusual traffic|that you are a human|security check|captcha|check that host|make sure the spelling|if you typed the address|back to the start page|use the search box|oops"
     r"|wurde nicht gefunden|nicht erreichbar|bitte versuchen|prüfen sie die|gehen sie zur|später noch einmal|kann der inhalt nicht|introuvable|vérifiez l'adresse|revenez à|indisponible|merci de réessayer|réessayer|no encontrada|no se (?:ha encontrado|encuentra)|no existe|compruebe la dirección|no está disponible|inténtelo|não foi encontrada|confira o endereço|indisponível|não está disponível|tente (?:novamente|mais tarde)|non esiste|non (?:è stata trovata|trovata)|controlla l'indirizzo|non (?:è )?disponibile|riprova|riprovare|не найдена|проверьте адрес|недоступ|попробуйте|повторите|activate it|(?:allow|turn) them",
-    "furniture": r"©|rights reserved|alle rechte vorbehalten|droits réservés|derechos reservados|direitos reservados|diritti riservati|права защищены|правила сайта|(?:^|: )(?:privacy|imprint|terms of use|impressum|datenschutz|nutzungsbedingungen|aviso legal|privacidad|privacidade|note legali|mentions légales|vie privée)\b|delivery not included|prices include tax|alle preise|precios con|prix taxes|prezzi|preços|only with written permission|small team of volunteers|cookies?\b|cookie policy|stores small files|your privacy matters|manage preferences|reject all|accept all|ok, got it|newsletter|never miss a story|enter your email|copy link|link kopieren|rundbrief|per mail|рассылку|все или изменить",
     "code": r"^(?:code|ticket|ray|reference|request id|incident|vorgang|código|codice|код|référence)\b.{0,20}$",
+    "furniture": r"©|rights reserved|alle rechte vorbehalten|droits réservés|derechos reservados|direitos reservados|diritti riservati|права защищены|правила сайта|(?:^|: )(?:privacy|imprint|terms of use|impressum|datenschutz|nutzungsbedingungen|aviso legal|privacidad|privacidade|note legali|mentions légales|vie privée)\b|delivery not included|prices include tax|alle preise|precios con|prix taxes|prezzi|preços|only with written permission|small team of volunteers|cookies?\b|cookie policy|stores small files|your privacy matters|manage preferences|reject all|accept all|ok, got it|newsletter|never miss a story|enter your email|copy link|link kopieren|rundbrief|per mail|рассылку|все или изменить",
 }
 _KINDS = {k: re.compile(p) for k, p in PATTERNS.items()}
 
 
+#: Words of the alternatives that begin and end with a choice; a sentence without any hint is of no kind.
+_MORE_HINTS = ("js", "script", "cookies", "privacy", "imprint", "terms of use", "impressum", "datenschutz", "nutzungsbedingungen", "aviso legal", "privacidad", "note legali", "mentions légales", "vie privée", "code", "ticket", "ray", "reference", "request id", "incident", "vorgang", "código", "codice", "код", "référence", "error", "erreur", "erro", "fehler", "ошибка", "not found", "forbidden", "bad gateway", "service unavailable", "gateway timeout", " ele", " él", "mehr", "allow them", "turn them", "texte", "texto de", "access ", "©", "asdf", "oops", "todo:")
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The top-level alternatives of a pattern."""
+    out, depth, now, i = [], 0, "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            now += pattern[i : i + 2]
+            i += 2
+            continue
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and depth == 0:
+            out.append(now)
+            now = ""
+        else:
+            now += c
+        i += 1
+    return [*out, now]
+
+
+def _hints() -> ahocorasick.Automaton:
+    """Finds a literal that every matching sentence must contain: the longest of each alternative."""
+    found = ahocorasick.Automaton()
+    for pattern in PATTERNS.values():
+        for alternative in _alternatives(pattern):
+            rest, before = alternative, ""
+            while rest != before:
+                before, rest = rest, re.sub(r"\((?:\?:)?[^()]*\)[?*+]?", "\0", rest)
+            runs = re.sub(r"\[[^\]]*\][?*+]?|\\.[?*+]?|\.(?:\{[^}]*\}|[?*+])?|.\?|[\^$]", "\0", rest).split("\0")
+            literal = max(runs, key=len)
+            if len(literal) >= 4:
+                found.add_word(literal, literal)
+            else:
+                assert any(h.strip() in alternative for h in _MORE_HINTS), alternative
+    for word in _MORE_HINTS:
+        found.add_word(word, word)
+    found.make_automaton()
+    return found
+
+
+_HINTS = _hints()
+
+
 #: Usual entries of a site's menu (fixed values).
 MENU = (
     "home|news|shop|forum|search|contact|help|events|topics|archive|newsletter|about us|log in|register|login|sign in|menu|startseite|nachrichten|laden|suche|kontakt|hilfe|termine|themen|archiv|über uns|anmelden"
@@ -63,33 +110,40 @@ MENU = (
     "|pagina iniziale|notizie|negozio|cerca|contatti|aiuto|eventi|temi|archivio|chi siamo|accedi|página inicial|notícias|loja|fórum|contato|ajuda|eventos|arquivo|sobre nós"
     "|главная|новости|магазин|форум|поиск|контакты|помощь|события|темы|архив|о нас|войти"
 )
+_MENU_WORDS = frozenset(w for entry in MENU.split("|") for w in entry.split())
 _MENU = re.compile(rf"^(?:\S+\s+){{0,3}}?(?:(?:{MENU})\s+){{2,}}", re.I)
 
 
 def messages(text: str) -> list[str]:
     """The sentences of a text; a menu before the first and a notice of rights after one are apart."""
-    out = []
-    for s in _SENTENCE.split(text):
-        menu = _MENU.match(s)
-        if menu:
-            out.append(s[: menu.end()])
-            s = s[menu.end() :]
-        head, sign, tail = s.partition("©")
-        out += [head, sign + tail]
-    return [s for s in out if s.strip()]
+    out = _SENTENCE.split(text)
+    menu = _MENU.match(out[0]) if len(_MENU_WORDS.intersection(out[0].lower().split())) > 1 else None
+    if menu:
+        out[:1] = [out[0][: menu.end()], out[0][menu.end() :]]
+    if "©" in text:
+        out = [part for s in out for part in (s.partition("©")[0], "".join(s.partition("©")[1:]))]
+    return [s for s in out if s and not s.isspace()]
+
+
+_SLOT_SIGN = re.compile(r"[{\[<@]|__|%%|\$\$")
+_VARIABLE_SIGN = re.compile(r"[\d/@]")
+_STATUS = re.compile(r"[45]\d\d\.?")
+_UNSET_SIGN = re.compile(r"NaN|null|undefined|\[object|%[sd]")
 
 
 def masked(sentence: str) -> list[str]:
     """Tokens of a sentence; what varies from one message to the next is masked."""
-    out = []
-    for token in _SLOT.sub(f" {SLOT} ", sentence).split():
-        if token == SLOT:
-            out.append(token)
-        elif any(c.isdigit() for c in token) and not re.fullmatch(r"[45]\d\d\.?", token) or "/" in token or "@" in token:
-            out.append(VARIABLE)
-        else:
-            out.append(token)
-    return out
+    if _SLOT_SIGN.search(sentence):
+        sentence = _SLOT.sub(f" {SLOT} ", sentence)
+    tokens = sentence.split()
+    if _VARIABLE_SIGN.search(sentence):
+        return [VARIABLE if _VARIABLE_SIGN.search(t) and not _STATUS.fullmatch(t) else t for t in tokens]
+    return tokens
+
+
+def unfilled(sentence: str) -> int:
+    """Places that should have been filled, and values a template shows when it got none."""
+    return (len(_SLOT.findall(sentence)) if _SLOT_SIGN.search(sentence) else 0) + (len(_UNSET.findall(sentence)) if _UNSET_SIGN.search(sentence) else 0)
 
 
 def leaf_of(tokens: list[str]) -> int:
@@ -103,17 +157,25 @@ def in_common(a: list[str], b: list[str]) -> list[str]:
 
 def verdict(template: list[str], example: str) -> str | None:
     """The kind of a template, decided once: what it says about places to fill comes first."""
-    said = " ".join(template).lower().replace("’", "'").replace(SLOT, VARIABLE)
     shown = example.lower().replace("’", "'")
-    if _KINDS["mention"].search(shown):
-        return "mention"
-    words = re.findall(r"[^\W\d_]+", shown)
-    if len(words) >= 4 and sum(w in LOREM for w in words) >= 0.7 * len(words) and sum(len(w) > 4 and w in LOREM for w in words) >= 2:
+    words = shown.split()
+    own = LOREM.intersection(words)
+    if len(own) >= 3 and sum(w.strip(".,;:!?") in LOREM for w in words) >= 0.7 * len(words) and any(len(w) > 4 for w in own):
         return "filler"
-    for kind in ("filler", "script", "error", "code", "furniture"):
-        if _KINDS[kind].search(said):
-            return kind
-    return "furniture" if _MENU.match(shown) else None
+    said = " ".join(template).lower().replace("’", "'").replace(SLOT, VARIABLE)
+    if next(_HINTS.iter(said), None) is not None:
+        for kind in _KINDS:
+            if _KINDS[kind].search(said):
+                return kind
+    elif SLOT in template and _KINDS["mention"].search(shown):
+        return "mention"
+    return "furniture" if len(_MENU_WORDS.intersection(words)) > 1 and _MENU.match(shown) else None
+
+
+def is_furniture(sentence: str) -> bool:
+    """A menu, or a short notice of rights, cookies or letters."""
+    low = sentence.strip().lower()
+    return len(low) < 140 and bool(_KINDS["furniture"].search(low)) or bool(_MENU.match(low + " "))
 
 
 def mine_templates(records: DataFrame, text_col: str) -> DataFrame:
@@ -186,7 +248,7 @@ def residue_scores(records: DataFrame, *, id_col: str, text_col: str, most_ordin
                     owner.append(i)
                     leaves.append(leaf_of(masked(s)))
                     words.append(len(s.split()))
-                    slots.append(len(_SLOT.findall(s)) + len(_UNSET.findall(s)))
+                    slots.append(unfilled(s))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(leaves, pa.int64()), pa.array(words, pa.int32()), pa.array(slots, pa.int32())], names=["_id", "leaf", "words", "slots"])
 
     base = records.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(r"\S"))
