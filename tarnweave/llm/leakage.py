@@ -73,6 +73,7 @@ def banded_edits(text: np.ndarray, passage: np.ndarray, shift: int, width: int)
     edits = np.zeros(n, dtype=np.int32)
     size = np.zeros(n, dtype=np.int32)
     best = (0, 0, 0)
+    steps = np.arange(n)
     offsets = shift + np.arange(n)
     for j in range(len(passage)):
         at = j + offsets
@@ -84,9 +85,11 @@ def banded_edits(text: np.ndarray, passage: np.ndarray, shift: int, width: int)
         up = np.concatenate([score[1:], [-(10**6)]]) - 2  # a sign of the passage has no match
         take = up > diag
         diag, e, s = np.where(take, up, diag), np.where(take, np.concatenate([edits[1:], [0]]) + 1, e), np.where(take, np.concatenate([size[1:], [0]]) + 1, s)
-        for k in range(1, n):  # a sign of the text has no match
-            if diag[k - 1] - 2 > diag[k]:
-                diag[k], e[k], s[k] = diag[k - 1] - 2, e[k - 1] + 1, s[k - 1]
+        # Signs of the text without a match: the best cell to the left, 2 less for each step.
+        raised = diag + 2 * steps
+        top = np.maximum.accumulate(raised)
+        source = np.maximum.accumulate(np.where(raised == top, steps, 0))
+        diag, e, s = top - 2 * steps, e[source] + (steps - source), s[source]
         dead = (diag <= 0) | ~ok
         score, edits, size = np.where(dead, 0, diag), np.where(dead, 0, e), np.where(dead, 0, s)
         k = int(score.argmax())
@@ -102,27 +105,38 @@ class _Passages:
         self.q, self.edits = q, edits
         self.words = {i: split_words(t) for i, t in items}
         self.codes = {}
+        self.ids = list(self.words)
         hashes, owners, places, shortest = [], [], [], []
-        for i, words in self.words.items():
+        for at, (i, words) in enumerate(self.words.items()):
             codes = _codes(f" {' '.join(words)} ")
             self.codes[i] = codes
             g = _grams(codes, q)
             hashes.append(g)
-            owners.append(np.full(len(g), i, dtype=np.int64))
+            owners.append(np.full(len(g), at, dtype=np.int64))
             places.append(np.arange(len(g), dtype=np.int64))
             ends = np.cumsum([0] + [len(w) + 1 for w in words])
             if len(words) >= run_words:
                 shortest.append(int((ends[run_words:] - ends[:-run_words]).min()) + 1)
         h = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
         order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.place = h[order], np.concatenate(owners)[order] if hashes else h.astype(np.int64), np.concatenate(places)[order] if hashes else h.astype(np.int64)
+        self.hash, self.owner, self.place = h[order], np.concatenate(owners)[order] if hashes else h.astype(np.int64), np.concatenate(places)[order] if hashes else h.astype(np.int64)
         self.filter = np.zeros(1 << 22, dtype=bool)
         self.filter[(self.hash >> np.uint64(42)).astype(np.int64)] = True
+        self.shortest = min(shortest) if shortest else 10**9
         # The q-gram lemma for the shortest region of run_words words in any passage.
-        self.least = max(1, (min(shortest) if shortest else 10**9) + 1 - q * (edits + 1))
+        self.least = max(1, self.shortest + 1 - q * (edits + 1))
+        self.reach = self.shortest + edits
         self.width = max(4, 2 * edits)
 
 
+def _often(keys: np.ndarray, size: int, least: int) -> np.ndarray:
+    """Which entries have a key that occurs ``least`` times."""
+    if size <= 8 * len(keys) + 1_000_000:
+        return np.bincount(keys, minlength=size)[keys] >= least
+    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    return counts[inverse] >= least
+
+
 def _scan(docs: DataFrame, block, run_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: _Passages = block.value
@@ -140,18 +154,27 @@ def _scan(docs: DataFrame, block, run_words: int) -> DataFrame:
                 hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 pos = np.repeat(at, n)
                 doc = np.searchsorted(starts, pos, "right") - 1
-                diagonal = (pos - starts[doc]) - p.place[hit]
-                band = diagonal // p.width
+                # A pair without enough hits in all has no band with enough.
+                pair = doc * len(p.ids) + p.owner[hit]
+                enough = _often(pair, len(texts) * len(p.ids), p.least)
+                pos, hit, doc, pair = pos[enough], hit[enough], doc[enough], pair[enough]
+                band = ((pos - starts[doc]) - p.place[hit]) // p.width
                 # Each diagonal is in two bands: band b holds the diagonals of cells b and b+1.
-                keys = np.concatenate([np.stack([doc, p.item[hit], band]), np.stack([doc, p.item[hit], band - 1])], axis=1)
-                order = np.lexsort(keys[::-1])
-                keys = keys[:, order]
-                first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-                counts = np.diff(np.concatenate([first, [keys.shape[1]]]))
-                kept = keys[:, first[counts >= p.least]]
-                found: dict[tuple[int, int], list[int]] = {}
-                for d, i, b in kept.T.tolist():
-                    found.setdefault((d, i), []).append(b)
+                low = int(band.min(initial=0)) - 1
+                span = int(band.max(initial=0)) - low + 1
+                keys, at = np.concatenate([pair * span + band - low, pair * span + band - 1 - low]), np.concatenate([pos, pos])
+                order = np.lexsort((at, keys))
+                keys, at = keys[order], at[order]
+                # A region has its hits close together: the bound holds within its own length.
+                ahead = p.least - 1
+                near = (keys[ahead:] == keys[: len(keys) - ahead]) & (at[ahead:] - at[: len(at) - ahead] <= p.reach)
+                found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+                good = np.flatnonzero(near)
+                bands, begin = np.unique(keys[good], return_index=True)
+                finish = np.append(begin[1:], len(good)) - 1
+                for k, a, z in zip(bands.tolist(), at[good[begin]].tolist(), at[good[finish] + ahead].tolist(), strict=True):
+                    d, i = divmod(k // span, len(p.ids))
+                    found.setdefault((d, p.ids[i]), []).append((k % span + low, a - int(starts[d]), z - int(starts[d])))
                 for (d, i), bands in found.items():
                     words = texts[d].split()
                     longest, start = longest_word_run(words, p.words[i])
@@ -159,8 +182,13 @@ def _scan(docs: DataFrame, block, run_words: int) -> DataFrame:
                         edits, length = 0, len(" ".join(words[start : start + longest]))
                     else:
                         text = _codes(texts[d])
-                        edits, length = max((banded_edits(text, p.codes[i], b * p.width, 2 * p.width - 1) for b in bands), key=lambda r: r[1] - 3 * r[0])
-                    if longest >= run_words or (p.edits and length + 1 - p.q * (edits + 1) >= p.least and edits <= p.edits * max(1, length // 60)):
+                        passage = p.codes[i]
+                        edits = length = 0
+                        for b, first, last in bands:
+                            start_at = max(0, first - b * p.width - 2 * p.reach)  # the part of the passage that the hits can reach
+                            end_at = last - b * p.width + 2 * p.reach
+                            edits, length = max((edits, length), banded_edits(text, passage[start_at:end_at], b * p.width + start_at, 2 * p.width - 1), key=lambda r: r[1] - 3 * r[0])
+                    if longest >= run_words or (p.edits and length >= p.shortest and edits <= p.edits * (length // p.shortest)):
                         out.append((ids[d], i, start, longest, edits, length))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
@@ -172,9 +200,9 @@ def _scan(docs: DataFrame, block, run_words: int) -> DataFrame:
 def leaked_passages(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", run_words: int = 12, edits: int = 2, q: int = Q) -> DataFrame:
     """(doc_id, item_id, start_word, run_words, edits, region_chars) for each leak.
 
-    A leak has ``run_words`` words in a row in common with the passage, or a region of that
-    length with at most ``edits`` character edits for each 60 characters. run_words in the
-    result is the longest run in common. Null ids or texts never leak; passages of fewer than
+    A leak has ``run_words`` words in a row in common with the passage, or a region as long as
+    the shortest run of so many words in any passage, with at most ``edits`` character edits for
+    each such length. run_words in the result is the longest run in common. Null ids or texts never leak; passages of fewer than
     ``run_words`` words can't; repeated documents are reported under each id; several leaks of
     one item in one document are one row; an empty side gives no rows.
     """
