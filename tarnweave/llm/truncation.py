@@ -17,6 +17,7 @@ summed over all texts.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +60,19 @@ def _bare(token: str) -> str:
     return token.rstrip(".,;:!?" + _CLOSERS) or token
 
 
+_seen: dict[str, tuple[str, str]] = {}
+
+
+def _kinds(token: str) -> tuple[str, str]:
+    """The mask of a token, and that of the token without closing punctuation."""
+    known = _seen.get(token)
+    if known is None:
+        if len(_seen) > 300_000:
+            _seen.clear()
+        known = _seen[token] = (_mask(token), _mask(_bare(token)))
+    return known
+
+
 def _key(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(parts)) >> (64 - _BITS)
 
@@ -82,8 +96,7 @@ def _segment_shapes(segment: str) -> list[str]:
     if _bare(shape) != shape:
         shapes.append(_bare(shape))
     for token in tokens[1:16]:
-        kind = _mask(token)
-        bare = _mask(_bare(token))
+        kind, bare = _kinds(token)
         shapes.append(f"{shape} {bare}")
         shape = f"{shape} {kind}"
         if bare != kind:
@@ -145,6 +158,7 @@ def _count(docs: DataFrame) -> np.ndarray:
         on_seg: dict[int, int] = {}
         for batch in batches:
             by_language: dict[str, list[str]] = {}
+            shown: Counter[str] = Counter()
             for text, language in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 e = _Ending(text, language)
                 by_language.setdefault(language, []).append(e.final.lower())
@@ -153,16 +167,16 @@ def _count(docs: DataFrame) -> np.ndarray:
                     if k is not None:
                         sums[0, k] += 1
                         sums[1, k] -= 1  # the scan below counts the end as well
-                segments = _ENDED.split(e.final)
-                for segment in segments:
-                    for shape in _segment_shapes(segment):
-                        k = _key("s", shape)
-                        on_seg[k] = on_seg.get(k, 0) + 1
+                for segment in _ENDED.split(e.final):
+                    shown.update(_segment_shapes(segment))
                 if not e.terminated:
                     k = _key("s", _whole_shape(e.segment, e.omitted))
                     ends_seg[k] = ends_seg.get(k, 0) + 1
                     k = _key("s", _whole_shape(e.segment, False))
                     on_seg[k] = on_seg.get(k, 0) - 1
+            for shape, n in shown.items():
+                k = _key("s", shape)
+                on_seg[k] = on_seg.get(k, 0) + n
             for language, texts in by_language.items():
                 codes = np.frombuffer("\x00".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
                 for n in ORDERS:
