@@ -113,6 +113,21 @@ def _whole_shape(segment: str, omitted: bool) -> str:
     return body + ("…" if omitted else "")
 
 
+def _endings_in(segment: str) -> list[str]:
+    """The last segment, and what follows a capital inside it: one usual ending may follow another."""
+    tokens = segment.split()
+    starts = [i for i in range(1, len(tokens)) if tokens[i].lstrip("“\"«‘'")[:1].isupper() or tokens[i][0] in "—("]
+    return [segment, *(" ".join(tokens[i:]) for i in starts[-12:])]
+
+
+def _usual(counts: np.ndarray, segment: str, omitted: bool) -> float:
+    """Log-odds that a segment of this shape ends a text; a single word has no shape."""
+    if len(segment.split()) < 2:
+        return -9.0
+    ends, on = int(counts[2, _key("s", _whole_shape(segment, omitted))]) - 1, int(counts[3, _key("s", _whole_shape(segment, False))])
+    return float(np.log((ends + 0.5) / (on + 0.5))) if ends >= SUPPORT else -9.0
+
+
 class _Ending:
     """The end of one text, as the model sees it."""
 
@@ -230,8 +245,7 @@ def ending_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                             break
                 score = -9.0 if score is None else score
                 if not e.terminated:
-                    ends, on = int(counts[2, _key("s", _whole_shape(e.segment, e.omitted))]) - 1, int(counts[3, _key("s", _whole_shape(e.segment, False))])
-                    by_segment = np.log((ends + 0.5) / (on + 0.5)) if ends >= SUPPORT else -9.0
+                    by_segment = max(_usual(counts, part, e.omitted) for part in _endings_in(e.segment))
                     # A segment without an end is whole only as a usual ending of its own kind.
                     score = by_segment if e.omitted or by_segment > -9.0 else min(score, -4.0)
                 is_cut = not e.terminated and (e.broken or score < min(-0.7, mean.get(lang, -6.5) + 5.5))
