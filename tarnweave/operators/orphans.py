@@ -100,9 +100,14 @@ def reference_states(refs: DataFrame, pages: DataFrame, pages_late: DataFrame) -
     return joined.select("ref_field", "holder_id", "missing_key", "ref_month", "ref_state")
 
 
+def utc_month(micros: Column) -> Column:
+    """'yyyy-MM' in UTC of microseconds since 1970, whatever the session's time zone."""
+    return F.date_format(F.date_from_unix_date(F.floor(micros / F.lit(86_400_000_000)).cast("int")), "yyyy-MM")
+
+
 def page_references(links: DataFrame, crawl_records: DataFrame) -> DataFrame:
     """Every reference to a page: both ends of a link, and the URLs a crawl record lists."""
-    month = F.date_format("discovered_at", "yyyy-MM")
+    month = utc_month(F.unix_micros("discovered_at"))
     ends = links.select(
         F.explode(
             F.array(
@@ -112,7 +117,7 @@ def page_references(links: DataFrame, crawl_records: DataFrame) -> DataFrame:
         ).alias("r"),
         month.alias("ref_month"),
     ).select("r.ref_field", "r.holder_id", "r.missing_key", "ref_month")
-    fetched = F.date_format(F.timestamp_millis("fetched_at_ms"), "yyyy-MM")
+    fetched = utc_month(F.col("fetched_at_ms") * 1000)
     urls = crawl_records.select(F.lit("crawl_records.links").alias("ref_field"), F.col("seq").alias("holder_id"), F.explode("links").alias("missing_key"), fetched.alias("ref_month"))
     return ends.unionByName(urls)
 

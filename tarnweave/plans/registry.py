@@ -179,15 +179,15 @@ def _snapshots(spark, sf):
 
 
 def page_title(spark, sf):
-    return table(spark, sf, "page_contents").where("html is not null").select("page_id", "stored_at", H.title("html").alias("title"))
+    return table(spark, sf, "page_contents").where("html is not null").select("page_id", F.unix_micros("stored_at").alias("stored_at"), H.title("html").alias("title"))
 
 
 def page_text(spark, sf):
-    return table(spark, sf, "page_contents").select("page_id", "stored_at", H.body_text("html").alias("text"))
+    return table(spark, sf, "page_contents").select("page_id", F.unix_micros("stored_at").alias("stored_at"), H.body_text("html").alias("text"))
 
 
 def page_text_legacy(spark, sf):
-    return table(spark, sf, "page_contents").select("page_id", "stored_at", H.document_text("html").alias("text"))
+    return table(spark, sf, "page_contents").select("page_id", F.unix_micros("stored_at").alias("stored_at"), H.document_text("html").alias("text"))
 
 
 def page_links(spark, sf):
@@ -208,7 +208,7 @@ def is_html(spark, sf):
 
 def js_required(spark, sf):
     c = table(spark, sf, "page_contents")
-    return c.select("page_id", "stored_at", C.javascript_required(F.col("html"), F.col("extracted_text")).alias("js_required"), C.empty_text(F.col("extracted_text")).alias("empty_text"))
+    return c.select("page_id", F.unix_micros("stored_at").alias("stored_at"), C.javascript_required(F.col("html"), F.col("extracted_text")).alias("js_required"), C.empty_text(F.col("extracted_text")).alias("empty_text"))
 
 
 def _classified(spark, sf):
@@ -278,12 +278,12 @@ def page_ids(spark, sf):
 
 def link_insert_ignore(spark, sf):
     links = table(spark, sf, "links").groupBy("from_page_id", "to_page_id", "discovered_at").agg(F.max("anchor_text").alias("anchor_text"))
-    return first_per_key(links, ["from_page_id", "to_page_id"], "discovered_at")
+    return first_per_key(links, ["from_page_id", "to_page_id"], "discovered_at").withColumn("discovered_at", F.unix_micros("discovered_at"))
 
 
 def content_upsert(spark, sf):
     c = table(spark, sf, "page_contents").groupBy("page_id", "stored_at").agg(F.max("content_hash").alias("content_hash"))
-    return TB.upsert(None, c, ["page_id"], "stored_at")
+    return TB.upsert(None, c, ["page_id"], "stored_at").withColumn("stored_at", F.unix_micros("stored_at"))
 
 
 def pagerank_current(spark, sf):

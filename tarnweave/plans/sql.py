@@ -87,8 +87,8 @@ def _legacy_found(query: str, k: int) -> str:
 
 
 _P5 = """WITH by_id AS (SELECT id, arg_max(status, (fetched_at IS NOT NULL, fetched_at, status)) AS status, any_value(url) AS url FROM pages WHERE id IS NOT NULL GROUP BY id),
-refs AS (SELECT 'links.from_page_id' AS ref_field, to_page_id AS holder_id, from_page_id::VARCHAR AS missing_key, strftime(discovered_at, '%Y-%m') AS ref_month, 'id' AS space FROM links
-  UNION SELECT 'links.to_page_id', from_page_id, to_page_id::VARCHAR, strftime(discovered_at, '%Y-%m'), 'id' FROM links
+refs AS (SELECT 'links.from_page_id' AS ref_field, to_page_id AS holder_id, from_page_id::VARCHAR AS missing_key, strftime(make_timestamp(epoch_us(discovered_at)), '%Y-%m') AS ref_month, 'id' AS space FROM links
+  UNION SELECT 'links.to_page_id', from_page_id, to_page_id::VARCHAR, strftime(make_timestamp(epoch_us(discovered_at)), '%Y-%m'), 'id' FROM links
   UNION SELECT 'crawl_records.links', seq, u, strftime(make_timestamp(fetched_at_ms * 1000), '%Y-%m'), 'url' FROM (SELECT seq, fetched_at_ms, unnest(links) AS u FROM crawl_records)),
 known AS (SELECT 'id' AS space, id::VARCHAR AS missing_key, coalesce(status = 'deleted', false) AS gone FROM by_id UNION ALL SELECT 'url', url, bool_and(coalesce(status = 'deleted', false)) FROM by_id WHERE url IS NOT NULL GROUP BY url),
 late AS (SELECT 'id' AS space, id::VARCHAR AS missing_key FROM pages_late UNION SELECT 'url', url FROM pages_late),
@@ -124,7 +124,7 @@ def _base() -> dict[str, str]:
         "content_hash": "SELECT doc_id, sha256(text) AS sha, length(text)::BIGINT AS chars, strlen(text)::BIGINT AS bytes FROM documents",
         "content_dedup": "SELECT sha256(html) AS content_hash, length(min(html))::BIGINT AS chars FROM page_contents WHERE html IS NOT NULL GROUP BY 1",
         "is_html": "SELECT seq, CASE WHEN content_type IS NOT NULL THEN lower(content_type) LIKE '%text/html%' ELSE starts_with(ltrim(coalesce(extracted_text, '')), '<!doctype html') OR coalesce(extracted_text, '') LIKE '%<html%' END AS is_html FROM crawl_records",
-        "js_required": """SELECT page_id, stored_at, short AND (len(regexp_extract_all(h, '<script')) >= 3 OR t LIKE '%enable javascript%' OR t LIKE '%requires javascript%' OR t LIKE '%please enable js%' OR h LIKE '%id="__next"%' OR h LIKE '%id="root"%') AS js_required, short AS empty_text
+        "js_required": """SELECT page_id, epoch_us(stored_at) AS stored_at, short AND (len(regexp_extract_all(h, '<script')) >= 3 OR t LIKE '%enable javascript%' OR t LIKE '%requires javascript%' OR t LIKE '%please enable js%' OR h LIKE '%id="__next"%' OR h LIKE '%id="root"%') AS js_required, short AS empty_text
           FROM (SELECT page_id, stored_at, lower(coalesce(html, '')) AS h, lower(coalesce(extracted_text, '')) AS t, length(regexp_replace(coalesce(extracted_text, ''), '^\\s+|\\s+$', '', 'g')) < 80 AS short FROM page_contents)""",
         "outcome_summary": "SELECT outcome, skip_reason, count(*) AS records, count(*) FILTER (outcome = 'stored') AS stored FROM crawl_records GROUP BY ALL",
         "penalize": f"SELECT seq, {_BAD} AS penalised FROM crawl_records",
@@ -139,8 +139,8 @@ def _base() -> dict[str, str]:
           agg AS (SELECT url, arg_max(kind, seq) AS kind, max(CASE WHEN kind = 'page_fetched' THEN 200 END) AS http_status, arg_max(props, seq) FILTER (kind = 'page_fetched') AS title, arg_max(event_type, seq) AS last_type FROM own GROUP BY url)
           SELECT url, CASE kind WHEN 'page_fetched' THEN 'fetched' WHEN 'page_failed' THEN 'failed' ELSE 'queued' END AS status, http_status, title, CASE WHEN kind = 'page_failed' THEN last_type END AS error FROM made LEFT JOIN agg USING (url)""",
         "page_ids": "SELECT row_number() OVER (ORDER BY seq) AS id, url FROM (SELECT requested_url AS url, min(seq) AS seq FROM crawl_records GROUP BY requested_url)",
-        "link_insert_ignore": "SELECT from_page_id, to_page_id, discovered_at, anchor_text FROM (SELECT from_page_id, to_page_id, discovered_at, max(anchor_text) AS anchor_text, row_number() OVER (PARTITION BY from_page_id, to_page_id ORDER BY discovered_at) AS k FROM links GROUP BY from_page_id, to_page_id, discovered_at) WHERE k = 1",
-        "content_upsert": "SELECT page_id, stored_at, content_hash FROM (SELECT page_id, stored_at, max(content_hash) AS content_hash, row_number() OVER (PARTITION BY page_id ORDER BY stored_at DESC) AS k FROM page_contents GROUP BY page_id, stored_at) WHERE k = 1",
+        "link_insert_ignore": "SELECT from_page_id, to_page_id, epoch_us(discovered_at) AS discovered_at, anchor_text FROM (SELECT from_page_id, to_page_id, discovered_at, max(anchor_text) AS anchor_text, row_number() OVER (PARTITION BY from_page_id, to_page_id ORDER BY discovered_at) AS k FROM links GROUP BY from_page_id, to_page_id, discovered_at) WHERE k = 1",
+        "content_upsert": "SELECT page_id, epoch_us(stored_at) AS stored_at, content_hash FROM (SELECT page_id, stored_at, max(content_hash) AS content_hash, row_number() OVER (PARTITION BY page_id ORDER BY stored_at DESC) AS k FROM page_contents GROUP BY page_id, stored_at) WHERE k = 1",
         "pagerank_current": f"WITH {_RECORD_GRAPH}, {_iterations(True)} SELECT node AS url, {_SIG.format("r")} AS page_rank FROM r20",
         "pagerank_legacy": f"WITH {_TABLE_GRAPH}, {_iterations(False)} SELECT node AS page_id, round(r, 6) AS page_rank FROM r20",
         "legacy_search": f"{_legacy_found('what the harbour and the silent library', 20)} SELECT page_id, url, title, score FROM found",
