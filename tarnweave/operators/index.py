@@ -54,13 +54,13 @@ def build_index(records: DataFrame, ranks: DataFrame | None = None) -> SearchInd
     """Index of crawl records(seq, ...): ids count from 0 in the order of seq; a URL without a rank has 1."""
     chosen = indexable(records).select("seq", F.col("final_url").alias("url"), "title", F.col("extracted_text").alias("text"))
     numbered = dense_ids(chosen, "seq").drop("seq").withColumn("tokens", tokenize(F.col("text"))).withColumn("token_count", F.size("tokens").cast("long"))
+    postings = postings_of(numbered)  # without the ranks, which they don't need
     if ranks is None:
-        numbered = numbered.withColumn("page_rank", F.lit(1.0))
+        ranked = numbered.withColumn("page_rank", F.lit(1.0))
     else:
-        numbered = numbered.join(ranks.select("url", "page_rank"), "url", "left").withColumn("page_rank", F.coalesce("page_rank", F.lit(1.0)))
-    postings = postings_of(numbered)
-    docs = numbered.select("id", "url", "title", "text", "token_count", "page_rank")
-    return SearchIndex(docs, postings, document_frequency(postings), corpus_stats(docs))
+        ranked = numbered.join(ranks.select("url", "page_rank"), "url", "left").withColumn("page_rank", F.coalesce("page_rank", F.lit(1.0)))
+    docs = ranked.select("id", "url", "title", "text", "token_count", "page_rank")
+    return SearchIndex(docs, postings, document_frequency(postings), corpus_stats(numbered))
 
 
 def stored_index(indexed: DataFrame) -> SearchIndex:

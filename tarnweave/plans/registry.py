@@ -94,7 +94,7 @@ def tfidf_topk(spark, sf):
 
 def _ranked(spark, sf):
     records = _records(spark, sf)
-    return I.build_index(records, G.page_rank_current(records))
+    return I.build_index(records, G.page_rank_current(records)).persist()  # a search reads it several times
 
 
 def search_traditional(spark, sf):
