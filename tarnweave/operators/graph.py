@@ -3,7 +3,8 @@
 Ranks are kept scaled by the number of nodes, so their mean is 1 where no rank leaks. Parallel
 edges are merged into one with a weight, and the out-degree is part of that weight, so an
 iteration is one join on the source and one aggregation on the target (with partial sums before
-its shuffle, so a popular target is no hot key).
+its shuffle, so a popular target is no hot key; the edges of a source with a large share of all
+edges are cut into parts, and its rank is sent to each).
 
 An iteration is affine: x' = (1-d) + s + dAx, where the scalar s is the dangling mass of x. So
 x is a sum of powers of dA applied to ones, and only the factors depend on the scalars. The
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from tarnweave.session import cut
 
 CHECKPOINT_EVERY = 7
+#: A source with more than this share of all edges is hot (there are at most 1/HOT_SHARE); its edges are cut into so many parts.
+HOT_SHARE, PARTS = 0.01, 64
 #: Nodes and edges up to which a graph is iterated in one task, where 20 joins would be overhead.
 ONE_TASK_ROWS = 500_000
 
@@ -67,17 +70,27 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, itera
     leaks. An empty graph gives no rows. Edges from unknown sources carry nothing.
     """
     nodes = nodes.persist()
-    edges = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").repartition("src").persist()
-    count = nodes.count()
+    edges = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").persist()
+    count, links = nodes.count(), edges.count()
     if not count:
         return nodes.select("node", F.lit(1.0).alias("page_rank"))
-    if count + edges.count() <= ONE_TASK_ROWS:
+    if count + links <= ONE_TASK_ROWS:
         return _in_one_task(nodes, edges, damping, iterations, dangling_mass)
     # Powers of the damped transition matrix applied to the vector of ones.
+    hot = [r.src for r in edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > links * HOT_SHARE).collect()]  # 1/HOT_SHARE at most
+    is_hot = F.col("src").isin(hot) if hot else F.lit(False)
+    part = F.when(is_hot, F.pmod(F.xxhash64("dst"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")
+    # Written, not persisted: a persisted plan would be part of every later plan.
+    # It keeps its partitioning, so that edges are shuffled once for all iterations.
+    wide = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(edges.select("src", part.alias("part"), "dst", "weight").repartition(wide, "src", "part"))
+    nodes = cut(nodes)
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
     power = nodes.select("node", F.lit(1.0).alias("v"))
     powers = [power]
     for k in range(1, iterations + 1):
-        power = edges.join(power.select(F.col("node").alias("src"), "v"), "src").groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("v") * F.col("weight")) * damping).alias("v"))
+        senders = power.select(F.col("node").alias("src"), "v").select("src", F.explode(every).alias("part"), "v")
+        power = placed.join(senders, ["src", "part"]).groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("v") * F.col("weight")) * damping).alias("v"))
         power = cut(power) if k % CHECKPOINT_EVERY == 0 else power.persist()
         powers.append(power)
     stacked = functools.reduce(DataFrame.unionByName, [p.withColumn("k", F.lit(k)) for k, p in enumerate(powers)])

@@ -63,9 +63,11 @@ def links_of(edges):
     return [record(i, n, links=[b for a, b in edges if a == n]) for i, n in enumerate(nodes)]
 
 
-@pytest.mark.parametrize("one_task", [0, 10**6])
-def test_pagerank_goldens(spark, monkeypatch, one_task):
+@pytest.mark.parametrize(("one_task", "hot"), [(0, 0.9), (0, 0.2), (10**6, 0.01)])
+def test_pagerank_goldens(spark, monkeypatch, one_task, hot):
     monkeypatch.setattr(graph, "ONE_TASK_ROWS", one_task)
+    monkeypatch.setattr(graph, "HOT_SHARE", hot)
+    monkeypatch.setattr(graph, "PARTS", 3)
     rows = records(spark, links_of([("a", "b"), ("a", "c"), ("b", "c"), ("c", "a")]))
     got = {r.url: r.page_rank for r in graph.page_rank_current(rows).collect()}
     for k, v in {"a": 1.477296, "b": 0.818317, "c": 1.513911, "d": 0.190476}.items():
