@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnweave.llm.words import split_words
+from tarnweave.llm.words import slices, split_words
 
 Q = 12
 BLOCK_GRAMS = 2_000_000
@@ -137,11 +137,18 @@ def _often(keys: np.ndarray, size: int, least: int) -> np.ndarray:
     return counts[inverse] >= least
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and normalised texts, in parts of bounded size."""
+    for batch in batches:
+        ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for a, z in slices(raw):
+            yield ids[a:z], [_normal(t) for t in raw[a:z]]
+
+
 def _scan(docs: DataFrame, block, run_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: _Passages = block.value
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [_normal(t) for t in batch.column(1).to_pylist()]
+        for ids, texts in _parts(batches):
             codes = _codes("\x00".join(texts))
             starts = np.cumsum([0] + [len(t) + 1 for t in texts])
             g = _grams(codes, p.q)
@@ -167,9 +174,13 @@ def _scan(docs: DataFrame, block, run_words: int) -> DataFrame:
                 keys, at = keys[order], at[order]
                 # A region has its hits close together: the bound holds within its own length.
                 ahead = p.least - 1
+                if len(keys) <= ahead:
+                    continue
                 near = (keys[ahead:] == keys[: len(keys) - ahead]) & (at[ahead:] - at[: len(at) - ahead] <= p.reach)
                 found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
                 good = np.flatnonzero(near)
+                if not len(good):
+                    continue
                 bands, begin = np.unique(keys[good], return_index=True)
                 finish = np.append(begin[1:], len(good)) - 1
                 for k, a, z in zip(bands.tolist(), at[good[begin]].tolist(), at[good[finish] + ahead].tolist(), strict=True):

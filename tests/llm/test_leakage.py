@@ -43,3 +43,11 @@ def test_edited_passage_is_found(spark):
     got = leakage.leaked_passages(df, items, edits=2).collect()
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)] and got[0].run_words < 12 and got[0].edits >= 1
     assert leakage.leaked_passages(df, items, edits=0).count() == 0
+
+
+def test_few_hits_are_no_leak(spark):
+    items = spark.createDataFrame([(1, " ".join(f"word{i} and" for i in range(40)))], "item_id long, passage string")
+    shares = ["word1 and word2 and", " ".join(f"word{i} and" for i in range(4)) + " other " + " ".join(f"word{i} and" for i in range(20, 24)), "nothing", "word3 and " * 200]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(shares)], "doc_id long, text string")
+    for one in (df, df.limit(1), df.where("doc_id = 2"), df.where("doc_id = 3")):
+        assert leakage.leaked_passages(one, items, edits=0).count() == 0
