@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: An id with more than this share of all rows is hot; there are at most 1/HOT_SHARE.
+HOT_SHARE, HOT_ROWS = 0.002, 10_000
 #: A partition writes its counters out and starts anew at so many terms.
 COUNTERS_KEPT = 500_000
 
@@ -33,7 +34,7 @@ def term_counters(docs: DataFrame, *, id_col: str = "id", freqs_col: str = "term
     that reduce to nothing are no occurrence; an empty table gives no rows.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reduced: dict[str, str] = {}
         counters: dict[str, list] = {}
 
@@ -62,17 +63,7 @@ def term_counters(docs: DataFrame, *, id_col: str = "id", freqs_col: str = "term
                     current, counts = rid, {}
                     if len(counters) > COUNTERS_KEPT:
                         yield flush()
-                own: dict[str, int] = {}
-                for key, count in freqs.items() if isinstance(freqs, dict) else freqs:
-                    if count is None or not count >= 1:
-                        continue
-                    term = reduced.get(key)
-                    if term is None:
-                        if len(reduced) > COUNTERS_KEPT:
-                            reduced.clear()
-                        term = reduced[key] = reduce_term(key)
-                    if term:
-                        own[term] = own.get(term, 0) + int(count)
+                own = _terms_of(freqs, reduced)
                 if counts:
                     for term, count in own.items():
                         counts[term] = max(count, counts.get(term, 0))
@@ -83,11 +74,49 @@ def term_counters(docs: DataFrame, *, id_col: str = "id", freqs_col: str = "term
 
     rows = docs.select(F.col(id_col).alias("id"), F.map_entries(freqs_col).alias("freqs")).where("id is not null and freqs is not null")
     rows = rows.select("id", F.transform("freqs", lambda e: F.struct(e["key"].alias("k"), e["value"].cast("long").alias("v"))).alias("freqs"))
+    sizes = rows.groupBy("id").agg(F.count("*").alias("n"))
+    hot = sizes.where(F.col("n") > max(HOT_ROWS, int(docs.count() * HOT_SHARE))).select("id").persist()
+    if not hot.isEmpty():
+        repeated = rows.join(F.broadcast(hot), "id", "left_semi")
+        rows = rows.join(F.broadcast(hot), "id", "left_anti")
+    else:
+        repeated = None
     spread = (rows.repartition(partitions, "id") if partitions else rows.repartition("id")).sortWithinPartitions("id")
     pairs = spread.mapInPandas(_as_pairs(run), "term string, occurrences long, documents long")
+    if repeated is not None:
+        # The rows of a hot id don't meet in one place: each gives its terms, the greatest count holds.
+        kind = rows.schema["id"].dataType.simpleString()
+        single = repeated.mapInPandas(_as_pairs(_each_row), f"id {kind}, term string, n long").groupBy("id", "term").agg(F.max("n").alias("occurrences"))
+        pairs = pairs.unionByName(single.select("term", "occurrences", F.lit(1).cast("long").alias("documents")))
     return pairs.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
 
 
+def _terms_of(freqs, reduced: dict[str, str]) -> dict[str, int]:
+    """The reduced terms of one row with their counts; ``reduced`` remembers reductions."""
+    own: dict[str, int] = {}
+    for key, count in freqs:
+        if count is None or not count >= 1:
+            continue
+        term = reduced.get(key)
+        if term is None:
+            if len(reduced) > COUNTERS_KEPT:
+                reduced.clear()
+            term = reduced[key] = reduce_term(key)
+        if term:
+            own[term] = own.get(term, 0) + int(count)
+    return own
+
+
+def _each_row(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    reduced: dict[str, str] = {}
+    for pdf in batches:
+        best: dict[tuple, int] = {}
+        for rid, freqs in zip(pdf["id"], pdf["freqs"], strict=True):
+            for term, n in _terms_of(freqs, reduced).items():
+                best[rid, term] = max(n, best.get((rid, term), 0))
+        yield pd.DataFrame([(i, t, n) for (i, t), n in best.items()], columns=["id", "term", "n"])
+
+
 def _as_pairs(run):
     """Arrow hands lists of structs over as dicts; turn them into (key, count) tuples."""
 

@@ -1,12 +1,15 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarnweave.llm import mixing, vocab
 
 
-def test_term_counters_equal_sets(spark, monkeypatch):
+@pytest.mark.parametrize("hot_rows", [3, 10_000])
+def test_term_counters_equal_sets(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(vocab, "HOT_ROWS", hot_rows)
     monkeypatch.setattr(vocab, "COUNTERS_KEPT", 5)
     rng = random.Random(1)
     keys = ["Ab", "ab", "a-b", "c", "ü!", "--", "ß", "10", "x_y"]
