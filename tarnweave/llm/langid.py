@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm.samples import bounded_sample
+from tarnweave.llm.words import slices
 
 #: Cells of the filter (a power of two) and lookups per n-gram.
 BITS, HASHES = 20, 2
@@ -152,9 +153,9 @@ class LanguageFilters:
     def verdicts(self, texts: list[str]) -> list[tuple[str | None, float]]:
         """(language, confidence) of each text; no language where too little or nothing fits."""
         plain = [_plain(t) for t in texts]
-        found, grams = self.hits(plain)
+        parts = [self.hits(plain[a:z]) for a, z in slices(plain)]
         out = []
-        for row, n in zip(found, grams, strict=True):
+        for row, n in ((r, g) for found, grams in parts for r, g in zip(found, grams, strict=True)):
             share = row / max(n, 1)
             order = np.argsort(-share)
             first = share[order[0]]

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm.counters import SCHEMA, packed, summed
+from tarnweave.llm.words import slices
 
 _BITS = 20
 _SIZE = 1 << _BITS
@@ -193,9 +194,10 @@ def _count(docs: DataFrame) -> np.ndarray:
                 k = _key("s", shape)
                 on_seg[k] = on_seg.get(k, 0) + n
             for language, texts in by_language.items():
-                codes = np.frombuffer("\x00".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-                for n in ORDERS:
-                    sums[1] += np.bincount(_context_hashes(codes, n, language), minlength=_SIZE)
+                for a, z in slices(texts):
+                    codes = np.frombuffer("\x00".join(texts[a:z]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+                    for n in ORDERS:
+                        sums[1] += np.bincount(_context_hashes(codes, n, language), minlength=_SIZE)
         for row, counts in ((2, ends_seg), (3, on_seg)):
             if counts:
                 np.add.at(sums[row], np.fromiter(counts.keys(), dtype=np.int64), np.fromiter(counts.values(), dtype=np.int64))

@@ -6,6 +6,7 @@ Words: split at white space, reduced to letters and digits, lower-cased, dropped
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -28,6 +29,18 @@ def split_words(text: str | None) -> list[str]:
     return out
 
 
+def slices(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of a list whose texts have about ``most`` characters, so that arrays over them stay small."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 class WordHasher:
     """Stable 64-bit word hashes, remembered for the words seen lately."""
 
