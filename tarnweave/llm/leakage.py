@@ -195,10 +195,14 @@ def _scan(docs: DataFrame, block, run_words: int) -> DataFrame:
                         text = _codes(texts[d])
                         passage = p.codes[i]
                         edits = length = 0
-                        for b, first, last in bands:
+                        for k, (b, first, last) in enumerate(bands):
+                            if k and bands[k - 1] == (b - 1, first, last):
+                                continue  # the same hits, as bands overlap
                             start_at = max(0, first - b * p.width - 2 * p.reach)  # the part of the passage that the hits can reach
                             end_at = last - b * p.width + 2 * p.reach
                             edits, length = max((edits, length), banded_edits(text, passage[start_at:end_at], b * p.width + start_at, 2 * p.width - 1), key=lambda r: r[1] - 3 * r[0])
+                            if length >= p.shortest and edits <= p.edits * (length // p.shortest):
+                                break
                     if longest >= run_words or (p.edits and length >= p.shortest and edits <= p.edits * (length // p.shortest)):
                         out.append((ids[d], i, start, longest, edits, length))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
@@ -208,7 +212,7 @@ def _scan(docs: DataFrame, block, run_words: int) -> DataFrame:
     return docs.mapInArrow(run, _SCHEMA)
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", run_words: int = 12, edits: int = 2, q: int = Q) -> DataFrame:
+def leaked_passages(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", run_words: int = 12, edits: int = 1, q: int = Q) -> DataFrame:
     """(doc_id, item_id, start_word, run_words, edits, region_chars) for each leak.
 
     A leak has ``run_words`` words in a row in common with the passage, or a region as long as
