@@ -31,6 +31,7 @@ from tarnweave.llm.words import slices
 
 _BITS = 20
 _SIZE = 1 << _BITS
+_ALL = (1 << 64) - 1
 ORDERS = (3, 5)
 #: An ending must be seen so often, besides the text itself, to be a usual one.
 SUPPORT = 4
@@ -147,8 +148,8 @@ class _Ending:
     def char_key(self, n: int) -> int | None:
         if len(self.final) < n:
             return None
-        codes = np.frombuffer(self.final[-n:].lower().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        return int(_context_hashes(codes, n, self.language)[0]) if len(codes) == n else None
+        last = self.final[-n:].lower()
+        return _context_hash(last, self.language) if len(last) == n else None
 
 
 def _tail_in_parentheses(text: str) -> bool:
@@ -156,6 +157,15 @@ def _tail_in_parentheses(text: str) -> bool:
     return bool(re.search(r"[.!?]\s+[“\"«]?\([^()]*\)[”\"»]*$", text))
 
 
+def _context_hash(chars: str, language: str) -> int:
+    """The same hash of one context."""
+    h = xxhash.xxh3_64_intdigest(language) ^ len(chars)
+    for c in chars:
+        h = ((h ^ ord(c)) * 0x100000001B3) & _ALL
+        h ^= h >> 32
+    return ((h * 0x9E3779B97F4A7C15) & _ALL) >> (64 - _BITS)
+
+
 def _context_hashes(codes: np.ndarray, n: int, language: str) -> np.ndarray:
     h = np.full(max(0, len(codes) - n + 1), xxhash.xxh3_64_intdigest(language) ^ n, dtype=np.uint64)
     with np.errstate(over="ignore"):

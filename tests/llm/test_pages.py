@@ -120,3 +120,10 @@ def test_truncation(spark, endings):
     assert rates["cut"] == (6, 6) and rates["usual"][1] == 1  # the row without an id
     assert truncation.ending_scores(df.limit(0)).count() == 0
     assert truncation.ending_scores(df).count() == scores.count()  # a clashing column that isn't kept
+
+
+def test_one_context_hashes_like_many():
+    text = "ärgerlich — ok"
+    codes = __import__("numpy").array([ord(c) for c in text], dtype="uint64")
+    for n in truncation.ORDERS:
+        assert list(truncation._context_hashes(codes, n, "de")) == [truncation._context_hash(text[i : i + n], "de") for i in range(len(text) - n + 1)]
