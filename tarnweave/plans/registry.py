@@ -255,7 +255,7 @@ def url_dedup(spark, sf):
 
 
 def record_upsert(spark, sf):
-    r = _records(spark, sf).select(TB.url_hash(F.col("requested_url")).alias("url_hash"), "seq", "outcome", "status")
+    r = _records(spark, sf).select(TB.url_hash(F.col("requested_url")).alias("url_hash"), "seq", "outcome", F.coalesce("status", F.lit(-1)).alias("status"))
     old, new = r.where("seq % 2 = 0"), r.where("seq % 2 = 1")
     return TB.upsert(last_per_key(old, ["url_hash"], "seq"), new, ["url_hash"], "seq")
 

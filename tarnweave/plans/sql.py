@@ -130,7 +130,7 @@ def _base() -> dict[str, str]:
         "penalize": f"SELECT seq, {_BAD} AS penalised FROM crawl_records",
         "host_suppression": f"SELECT seq, host, coalesce(sum(bad::INT) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3 AS suppressed FROM (SELECT seq, {_HOST} AS host, {_BAD} AS bad FROM crawl_records)",
         "url_dedup": "SELECT sha256(requested_url) AS url_hash, requested_url AS url, arg_min(source_seed, seq) AS source_seed, min(seq) AS seq FROM crawl_records GROUP BY requested_url",
-        "record_upsert": """WITH r AS (SELECT sha256(requested_url) AS url_hash, seq, outcome, status, seq % 2 AS odd FROM crawl_records)
+        "record_upsert": """WITH r AS (SELECT sha256(requested_url) AS url_hash, seq, outcome, coalesce(status, -1) AS status, seq % 2 AS odd FROM crawl_records)
           SELECT url_hash, seq, outcome, status FROM (SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY odd DESC, seq DESC) AS k FROM r) WHERE k = 1""",
         "url_status": "SELECT sha256(requested_url) AS url_hash, coalesce(arg_max(outcome, seq) FILTER (outcome <> 'fetch_failed'), 'queued') AS status FROM crawl_records GROUP BY requested_url",
         "page_status_merge": f"""WITH e AS (SELECT event_id AS seq, {_KIND} AS kind, 'u' || user_id AS url, props, event_type FROM events),
