@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tarnweave.llm import leakage
+from tarnweave.llm.queries import p8_leaks
 from tarnweave.llm.words import split_words
 
 
@@ -51,3 +52,16 @@ def test_few_hits_are_no_leak(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(shares)], "doc_id long, text string")
     for one in (df, df.limit(1), df.where("doc_id = 2"), df.where("doc_id = 3")):
         assert leakage.leaked_passages(one, items, edits=0).count() == 0
+
+
+def test_the_query_finds_two_edits(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(14)]
+    edited = words[:]
+    for k in (4, 9):
+        edited[k] = edited[k][:2] + "z" + edited[k][3:]
+    other = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(60))
+    spark.createDataFrame([(1, f"{other} {' '.join(edited)} {other}"), (2, other)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(words))], "item_id long, passage string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = p8_leaks(spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.item_id, r.edits) for r in got] == [(1, 7, 2)]
