@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnweave.llm.residue import is_furniture, messages
+from tarnweave.llm.residue import is_notice, menu_of
 
 INLINE = frozenset({"a", "b", "i", "em", "strong", "span", "code"})
 _SILENT = frozenset({"script", "style", "noscript", "template"})
@@ -263,17 +263,103 @@ def main_blocks(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "h
     return base.mapInArrow(run, f"{id_col} {kind}, block int, tag string, text string, block_md5 string")
 
 
+def _entry(kinds: frozenset[str]) -> str:
+    """A pattern of usual entries; they begin with a capital."""
+    return "|".join(f"{e[0].upper()}(?i:{re.escape(e[1:])})" for e in sorted(kinds, key=len, reverse=True))
+
+
+_SENTENCE_END = re.compile(r"(?<=[.!?…])[”\"»’)\]]*\s+")
+_WHOLE = re.compile(r"[.!?…][”\"»’)\]]*$")
+_ENTRY = re.compile(rf"(?:{_entry(OPENERS | SHARING)}):?(?=\s+[^\W\d_a-zа-яà-öø-ÿ]|\s*©|\s*$)")
+_FLAT_BYLINE = re.compile(r"(?:By|Von|Par|Por|Di|Da|Автор)\s+[^\W\d_]\S*(?:\s+[^\W\d_]\S*){0,3}?,?\s+(?:(?:on|am|le|el|il|em|a)\s+)?\d{1,2}\.?\s+(?:de\s+)?[^\W\d_]+\.?\s+(?:de\s+)?\d{4}(?!\d)")
+#: What follows a notice of cookies in its own sentence (fixed values).
+_ANSWER = re.compile(r"^(?:accept all|reject all|manage preferences|ok, got it|alle annehmen|alles annehmen|tout accepter|aceptar todo|aceitar tudo|accetta tutto|принять вс[её]|learn more|mehr erfahren|en savoir plus|más información|saiba mais|maggiori informazioni|подробнее)\b.{0,60}$", re.I)
+_FOOTER = re.compile(r"^©|rights reserved|rechte vorbehalten|droits réservés|derechos reservados|direitos reservados|diritti riservati|права защищены", re.I)
+
+
+def _entries_in(piece: str) -> list[tuple[int, int]]:
+    """Where usual entries stand in a sentence: at its start or after one another, inside it only several or long ones."""
+    found, at = [], [m.span() for m in _ENTRY.finditer(piece) if not m.start() or piece[m.start() - 1].isspace()]
+    for k, (a, z) in enumerate(at):
+        beside = found and not piece[found[-1][1] : a].strip() or k + 1 < len(at) and not piece[z : at[k + 1][0]].strip()
+        word = piece[a:z].rstrip(":").lower()
+        alone = a == 0 and (word in OPENERS or not piece[z:].strip() or piece[z:].lstrip()[0] == "©")
+        if beside or alone or " " in word:
+            found.append((a, z))
+    return found
+
+
+def flat_lines(text: str) -> list[Line]:
+    """The lines of a flattened page: sentences, cut also where a menu, an entry, a byline or a notice of rights begins or ends.
+
+    What were tags shows in the words: each word of a menu or entry counts as one, and so does each
+    capital of a line that doesn't end as a sentence.
+    """
+    ends = [m.end() for m in _SENTENCE_END.finditer(text)]
+    lines: list[Line] = []
+
+    def add(piece: str, kind: str = "") -> None:
+        if piece := piece.strip():
+            words = piece.split()
+            tags = len(words) if kind in ("menu", "entry", "opener") else 1 if _WHOLE.search(piece) else max(1, sum(w.lstrip("“\"«‘'(")[:1].isupper() for w in words))
+            lines.append(Line(piece, tags, 0, (), kind))
+
+    for a, z in zip([0, *ends], [*ends, len(text)], strict=True):
+        piece = text[a:z].strip()
+        menu = menu_of(piece) if a == 0 else 0
+        add(piece[:menu], "menu")
+        piece = piece[menu:]
+        cuts = [(s, e, "opener" if piece[s:e].rstrip(":").lower() in OPENERS else "entry") for s, e in _entries_in(piece)]
+        cuts += [(*m.span(), "byline") for m in _FLAT_BYLINE.finditer(piece)]
+        if "©" in piece:
+            cuts.append((piece.index("©"), len(piece), "footer"))
+        at = 0
+        for s, e, kind in sorted(cuts):
+            if s >= at:
+                add(piece[at:s])
+                add(piece[s:e], kind)
+                at = e
+        add(piece[at:])
+    return lines
+
+
+def _flat_furniture(lines: list[Line], i: int) -> bool:
+    x = lines[i]
+    return bool(x.hint) or _furniture(x) or bool(_ANSWER.search(x.text)) or len(x.text) < 140 and is_notice(x.text)
+
+
 def main_text_of_flat(text: str) -> str:
-    """The article of a flattened page: its sentences but for those of menus and notices.
+    """The article of a flattened page, by the region rule of its lines.
 
-    There are no tags left; a menu's words stand before the first sentence, and count as tags.
+    Ratios of text to tags are smoothed and lines above the threshold clustered. Openers and notices
+    of rights part the page; the clusters of the widest part are the article, with the sentences
+    that adjoin them, less the lines that are furniture by what they say.
     """
-    kept = []
-    for s in messages(text):
-        if is_furniture(s) or _ADVERT.search(s.strip()):
-            continue
-        kept.append(s.strip())
-    return " ".join(kept)
+    lines = flat_lines(text)
+    if not lines:
+        return ""
+    ratios = smoothed_ratios(lines)
+    threshold = 0.5 * sum(ratios) / len(ratios)
+    furniture = [_flat_furniture(lines, i) for i in range(len(lines))]
+    content = [r >= threshold and not f for r, f in zip(ratios, furniture, strict=True)]
+    best, start = (0, 0, 0), 0
+    for i in range(len(lines) + 1):
+        if i == len(lines) or lines[i].hint in ("opener", "footer") or furniture[i] and _FOOTER.search(lines[i].text):
+            best = max(best, (sum(len(lines[k].text) for k in range(start, i) if content[k]), start, i))
+            start = i + 1
+    inside = [k for k in range(best[1], best[2]) if content[k]]
+    if not inside:
+        return ""
+    a, z = inside[0], inside[-1] + 1
+
+    def adjoins(i: int) -> bool:
+        return furniture[i] or ratios[i] >= 0.5 * threshold or bool(_WHOLE.search(lines[i].text))
+
+    while a > best[1] and adjoins(a - 1):
+        a -= 1
+    while z < best[2] and adjoins(z):
+        z += 1
+    return " ".join(lines[i].text for i in range(a, z) if not furniture[i])
 
 
 def flat_main_text(records: DataFrame, *, id_col: str, text_col: str) -> DataFrame:

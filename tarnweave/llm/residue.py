@@ -114,12 +114,18 @@ _MENU_WORDS = frozenset(w for entry in MENU.split("|") for w in entry.split())
 _MENU = re.compile(rf"^(?:\S+\s+){{0,3}}?(?:(?:{MENU})\s+){{2,}}", re.I)
 
 
+def menu_of(sentence: str) -> int:
+    """Where the menu ends that a sentence begins with; 0 without one."""
+    menu = _MENU.match(sentence) if len(_MENU_WORDS.intersection(sentence.lower().split())) > 1 else None
+    return menu.end() if menu else 0
+
+
 def messages(text: str) -> list[str]:
     """The sentences of a text; a menu before the first and a notice of rights after one are apart."""
     out = _SENTENCE.split(text)
-    menu = _MENU.match(out[0]) if len(_MENU_WORDS.intersection(out[0].lower().split())) > 1 else None
+    menu = menu_of(out[0])
     if menu:
-        out[:1] = [out[0][: menu.end()], out[0][menu.end() :]]
+        out[:1] = [out[0][:menu], out[0][menu:]]
     if "©" in text:
         out = [part for s in out for part in (s.partition("©")[0], "".join(s.partition("©")[1:]))]
     return [s for s in out if s and not s.isspace()]
@@ -172,10 +178,11 @@ def verdict(template: list[str], example: str) -> str | None:
     return "furniture" if len(_MENU_WORDS.intersection(words)) > 1 and _MENU.match(shown) else None
 
 
-def is_furniture(sentence: str) -> bool:
-    """A menu, or a short notice of rights, cookies or letters."""
+def is_notice(sentence: str) -> bool:
+    """A notice of rights, cookies or letters; writing about cookies isn't one."""
     low = sentence.strip().lower()
-    return len(low) < 140 and bool(_KINDS["furniture"].search(low)) or bool(_MENU.match(low + " "))
+    found = _KINDS["furniture"].search(low)
+    return bool(found) and not found.group().startswith("cookie")
 
 
 def mine_templates(records: DataFrame, text_col: str) -> DataFrame:

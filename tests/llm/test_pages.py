@@ -95,6 +95,18 @@ def test_flat_text(spark):
     assert list(got) == [1] and got[1] == body
 
 
+def test_flat_text_by_region():
+    body = " ".join([*PROSE, "“The baker gave away one cookie.”", "Read on."])
+    titles = "Regional cookie without Ashulm Western shard in Ostdol Narrow frost and Ferost"
+    head = "Site News Home News Shop Search We use cookies to improve your visit. Accept all or change your settings. By Ann Other on 2 May 2025"
+    tail = f"Send by mail Copy link Share this page Related articles {titles} Enter your email to join 26 other readers. © 2025 Site. All rights reserved."
+    assert boilerplate.main_text_of_flat(f"{head} {body} {tail}") == body
+    assert boilerplate.main_text_of_flat(f"{body} Comments Jo: A fine text, thank you! Ann: I see it in another way. Site: All rights reserved.") == body
+    assert boilerplate.main_text_of_flat(f"{body[:-9]} and nobody said more Copy link Print {titles}").startswith(body[:-9])
+    assert boilerplate.main_text_of_flat(body) == body and boilerplate.main_text_of_flat("no sentence here") == "no sentence here"
+    assert boilerplate.main_text_of_flat("© 2025 Site. All rights reserved.") == ""
+
+
 @pytest.fixture(scope="module")
 def endings(spark):
     usual = ["— Ann Other", "Source: https://h.test/12345", "Tags: house, letter", "(Photo: Ann)", "Last update: 3 May 2025", "And nobody knows what the walk of Ann will bring…"]
