@@ -4,10 +4,13 @@ For the final context of each value the model compares two counts over the whole
 often a text ends after this context, and how often it goes on. Contexts are read backwards
 from the end, in two kinds:
 
-* the last 3 and 5 characters, per language;
+* the last 3 and 5 characters, per language. They decide on texts that end with a full stop: one
+  after which texts go on far more often than they end (an abbreviation, an initial, an ordinal
+  number) is inside a sentence;
 * the last segment as far as its start, with its words masked by their kind. It says whether
   an unfinished last segment is one that texts are used to end with (a signature, a source, a
-  tag line, a sentence that has dots of its own) or the beginning of one that goes on.
+  tag line, a sentence that has dots of its own) or the beginning of one that goes on. Characters
+  don't decide here: signatures end in any letters, and marks of other cuts look like endings.
 
 A mark of omission at the end is taken off before the context is read; it counts as an ending
 only if the segment with its mark is a usual one. Counters are hashed, of a fixed size, and
@@ -35,6 +38,10 @@ _ALL = (1 << 64) - 1
 ORDERS = (3, 5)
 #: An ending must be seen so often, besides the text itself, to be a usual one.
 SUPPORT = 4
+#: Log-odds above an average character's from which a full stop can end a text.
+DOT_MARGIN = 1.0
+#: Times that the longer context of a full stop must be seen to be used.
+DOT_SUPPORT = 150
 
 _CLOSERS = "”\"»’')]"
 _MORE = r"(?:read more|continue reading|weiterlesen|mehr lesen|lire la suite|leer más|seguir leyendo|leggi tutto|continua a leggere|leia mais|ler mais|читать далее|далее)"
@@ -152,6 +159,19 @@ class _Ending:
         return _context_hash(last, self.language) if len(last) == n else None
 
 
+def _by_characters(counts: np.ndarray, e: _Ending) -> float:
+    """Log-odds that a text ends after the last characters, in the longest context that is seen often enough."""
+    dot = e.terminated and e.final[-1] == "."
+    ends_row, on_row, support = (4, 5, DOT_SUPPORT) if dot else (0, 1, 50)
+    for n in reversed(ORDERS):
+        k = e.char_key(n)
+        if k is not None:
+            ends, on = int(counts[ends_row, k]) - 1, int(counts[on_row, k])
+            if ends + on >= support or n == ORDERS[0]:
+                return float(np.log((max(ends, 0) + 0.5) / (on + 0.5)))
+    return -9.0 if not dot else 0.0
+
+
 def _tail_in_parentheses(text: str) -> bool:
     """'(Photo: X)' after a full stop ends with a bracket of its own, not with a sentence."""
     return bool(re.search(r"[.!?]\s+[“\"«]?\([^()]*\)[”\"»]*$", text))
@@ -176,10 +196,13 @@ def _context_hashes(codes: np.ndarray, n: int, language: str) -> np.ndarray:
 
 
 def _count(docs: DataFrame) -> np.ndarray:
-    """[ends, continuations] by characters, then [ends, continuations] by segment."""
+    """[ends, continuations] by characters, by segment, and by characters of contexts with a full stop at their end.
+
+    The last have counters of their own, as others that meet in a counter would outweigh them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((4, _SIZE), dtype=np.int64)
+        sums = np.zeros((6, _SIZE), dtype=np.int64)
         ends_seg: dict[int, int] = {}
         on_seg: dict[int, int] = {}
         for batch in batches:
@@ -193,6 +216,9 @@ def _count(docs: DataFrame) -> np.ndarray:
                     if k is not None:
                         sums[0, k] += 1
                         sums[1, k] -= 1  # the scan below counts the end as well
+                        if e.final[-1] == ".":
+                            sums[4, k] += e.terminated
+                            sums[5, k] -= 1
                 for segment in _ENDED.split(e.final):
                     shown.update(_segment_shapes(segment))
                 if not e.terminated:
@@ -206,15 +232,18 @@ def _count(docs: DataFrame) -> np.ndarray:
             for language, texts in by_language.items():
                 for a, z in slices(texts):
                     codes = np.frombuffer("\x00".join(texts[a:z]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+                    dots = np.flatnonzero(codes == ord("."))
                     for n in ORDERS:
-                        sums[1] += np.bincount(_context_hashes(codes, n, language), minlength=_SIZE)
+                        hashes = _context_hashes(codes, n, language)
+                        sums[1] += np.bincount(hashes, minlength=_SIZE)
+                        np.add.at(sums[5], hashes[dots[dots >= n - 1] - (n - 1)], 1)
         for row, counts in ((2, ends_seg), (3, on_seg)):
             if counts:
                 np.add.at(sums[row], np.fromiter(counts.keys(), dtype=np.int64), np.fromiter(counts.values(), dtype=np.int64))
         if sums.any():
             yield packed(np.maximum(sums, 0).reshape(-1))
 
-    return summed(docs.mapInArrow(run, SCHEMA), 4 * _SIZE).reshape(4, _SIZE)
+    return summed(docs.mapInArrow(run, SCHEMA), 6 * _SIZE).reshape(6, _SIZE)
 
 
 def language_bucket(label: Column) -> Column:
@@ -226,9 +255,9 @@ def ending_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """(id, keep..., log_odds, truncated, reason) for every text that isn't blank.
 
     log_odds compares ending with going on after the final context; below the threshold of its
-    language the text is truncated. The threshold lies between two references of the same
-    model: 3 above the log-odds that a text ends after an average character, so that a rare
-    language is not judged by a common one. Blank and null texts aren't truncated and give no
+    language the text is truncated. Thresholds refer to the log-odds that a text ends after an
+    average character, so that a rare language is not judged by a common one. An unfinished last
+    segment is truncated unless its shape is a usual ending, whatever its characters. Blank and null texts aren't truncated and give no
     row; null ids are kept as they are; repeated texts are judged alike; ``keep`` names other
     columns to pass through.
     """
@@ -247,20 +276,14 @@ def ending_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             scores, cut, why = [], [], []
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 e = _Ending(text, lang)
-                score = None
-                for n in reversed(ORDERS):
-                    k = e.char_key(n)
-                    if k is not None:
-                        ends, on = int(counts[0, k]) - 1, int(counts[1, k])
-                        if ends + on >= 50 or n == ORDERS[0]:
-                            score = np.log((max(ends, 0) + 0.5) / (on + 0.5))
-                            break
-                score = -9.0 if score is None else score
-                if not e.terminated:
+                score, least = _by_characters(counts, e), mean.get(lang, -6.5)
+                if e.terminated:
+                    is_cut = e.final[-1] == "." and score < least + DOT_MARGIN
+                else:
                     by_segment = max(_usual(counts, part, e.omitted) for part in _endings_in(e.segment))
                     # A segment without an end is whole only as a usual ending of its own kind.
-                    score = by_segment if e.omitted or by_segment > -9.0 else min(score, -4.0)
-                is_cut = not e.terminated and (e.broken or score < min(-0.7, mean.get(lang, -6.5) + 5.5))
+                    is_cut = e.broken or by_segment <= -9.0 or by_segment < min(-0.7, least + 5.5)
+                    score = by_segment if by_segment > -9.0 else score
                 scores.append(float(score))
                 cut.append(bool(is_cut))
                 why.append(None if not is_cut else "broken character" if e.broken else "mark of omission" if e.omitted else "within a word or sentence")

@@ -139,3 +139,11 @@ def test_one_context_hashes_like_many():
     codes = __import__("numpy").array([ord(c) for c in text], dtype="uint64")
     for n in truncation.ORDERS:
         assert list(truncation._context_hashes(codes, n, "de")) == [truncation._context_hash(text[i : i + n], "de") for i in range(len(text) - n + 1)]
+
+
+def test_full_stop_inside_a_sentence(spark):
+    names = ["Ann", "Bob", "Cleo", "Dora", "Emil", "Fay"]
+    rows = [(i, " ".join([*PROSE, f"In the morning Dr. {names[i % 6]} walked to the old house.", PROSE[i % 4], f"After that Dr. {names[(i + 1) % 6]} left."])) for i in range(400)]
+    cut = [(1000, f"{PROSE[0]} In the morning Dr."), (1001, f"{PROSE[1]} {PROSE[2]} After that Dr.")]
+    scores = truncation.ending_scores(spark.createDataFrame(rows + cut, "doc_id long, text string")).where("truncated").collect()
+    assert {r.doc_id for r in scores} == {1000, 1001} and all(r.log_odds < -5 for r in scores)
