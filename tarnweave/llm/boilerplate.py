@@ -2,10 +2,11 @@
 
 The standard-library parser hands over tags and text one by one; text between block-level tags
 is a line. Each line has a text-to-tag ratio; the ratios are smoothed with a Gaussian kernel and
-lines above a threshold are clustered into content regions. The region that the headline leads
-is the article; it ends before the first line that opens something else (comments, related
-titles, a footer) or that stands in another container. Inside it, lines that are furniture by
-what they say (bylines, sharing, notices, advertising) are taken out.
+lines above a threshold are content. The smallest container of the headline that holds half of
+the page's content is the article's, less what opens something else (comments, related titles) and
+boxes that aren't mostly content; if that is the whole page, content is parted there and clusters
+under half of the largest are left out. Lines that are furniture by what they say (bylines, sharing,
+notices, advertising) are taken out.
 
 The same region rule serves text that has been flattened: there a sentence is a line.
 """
@@ -28,6 +29,8 @@ INLINE = frozenset({"a", "b", "i", "em", "strong", "span", "code"})
 _SILENT = frozenset({"script", "style", "noscript", "template"})
 _VOID = frozenset({"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "param", "track"})
 _BOXES = frozenset({"div", "aside", "nav", "footer", "header", "section", "table", "form", "article", "main", "td", "dialog", "menu", "tr", "tbody"})
+#: Boxes that are no part of the text they stand in.
+_ASIDE = frozenset({"aside", "nav", "footer", "form", "dialog", "menu"})
 _CLOSES_P = frozenset({"p", "div", "section", "article", "aside", "nav", "footer", "header", "ul", "ol", "table", "blockquote", "figure", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "main", "form", "pre", "dl", "hr"})
 _SAME = {"li": "li", "td": "td", "th": "td", "tr": "tr", "dt": "dt", "dd": "dd", "option": "option"}
 
@@ -211,28 +214,93 @@ def main_lines(html: str) -> list[Line]:
             elif start is not None:
                 best, start = max(best, (sum(len(x.text) for x in lines[start:i]), start, i)), None
         return [x for x in lines[best[1] : best[2]] if not _furniture(x)]
+    furniture = [_furniture(x) for x in lines]
+    openers = [x.text.lower().rstrip(":") in OPENERS for x in lines]
+    content = [r >= threshold and not f and not o and x.links < 0.5 * len(x.text) for x, r, f, o in zip(lines, ratios, furniture, openers, strict=True)]
+    depth = _container(lines, head, content, openers)
+    return [lines[i] for i in _region(lines, head, depth, content, furniture, openers)]
+
+
+def _within(x: Line, path: tuple) -> bool:
+    return len(x.path) >= len(path) and all(a[1] == b[1] for a, b in zip(x.path, path, strict=False))
+
+
+def _boxes(path: tuple, depth: int) -> list[int]:
+    """Where the boxes of a path end that are deeper than a container."""
+    return [k + 1 for k in range(depth, len(path)) if path[k][0] in _BOXES]
+
+
+def _container(lines: list[Line], head: int, content: list[bool], openers: list[bool]) -> int:
+    """The depth of the smallest container of the headline that holds half of the page's content."""
+    opened: list[tuple] = []
+    weights = []
+    for x, c, o in zip(lines, content, openers, strict=True):
+        if o:
+            opened.append(x.path[: max(_boxes(x.path[:-1], 0), default=0)])
+        weights.append(len(x.text) if c and not any(_within(x, p) for p in opened) else 0)
+    weights[head] = 0
     home = lines[head].path[:-1]
-    depth = len(home)
-    out, last = [lines[head]], 0
-    for i in range(head + 1, len(lines)):
+    for depth in range(len(home), 0, -1):
+        if 2 * sum(w for x, w in zip(lines, weights, strict=True) if w and _within(x, home[:depth])) >= sum(weights):
+            return depth
+    return 0
+
+
+def _region(lines: list[Line], head: int, depth: int, content: list[bool], furniture: list[bool], openers: list[bool]) -> list[int]:
+    """The lines of the article in the headline's container.
+
+    What openers open, and boxes whose text isn't mostly content, is left out. If the container is a box
+    of the article's own, the rest is the article. On a page without one they also part clusters: the
+    headline's is taken, and later ones at least half as large as the largest.
+    """
+    home = lines[head].path[:depth]
+    inside = [i for i in range(head + 1, len(lines)) if _within(lines[i], home)]
+    # Text and content of each box, by its own lines.
+    boxes: dict[tuple, list[int]] = {}
+    for i in inside:
         x = lines[i]
-        if x.text.lower().rstrip(":") in OPENERS:
-            break
-        inside = len(x.path) >= depth and all(a[1] == b[1] for a, b in zip(x.path[:depth], home, strict=False))
-        if not inside or any(step[0] in _BOXES for step in x.path[depth:]):
-            if home or x.path and x.path[0][0] in _BOXES:
-                break
+        own = x.path[: max(_boxes(x.path, depth), default=depth)]
+        share = boxes.setdefault(own, [0, 0])
+        share[0] += len(x.text)
+        share[1] += len(x.text) * content[i]
+    clusters: list[list[int]] = [[head]]
+    opened: list[tuple] = []
+    before: set[tuple] = set()
+    parted, loose = False, not any(step[0] in _BOXES for step in home)
+    at = lines[head].path[: max(_boxes(lines[head].path, depth), default=depth)]
+    for i in inside:
+        x = lines[i]
+        deeper = _boxes(x.path, depth)
+        own = x.path[: deeper[-1] if deeper else depth]
+        if openers[i]:
+            # The largest box that holds no content before its opener is opened as a whole; the opener may be a box itself.
+            around = [k for k in deeper if k < len(x.path)]
+            opened.append(next((x.path[:k] for k in around if x.path[:k] not in before), x.path[: max(around, default=depth)]))
+            parted = loose
             continue
-        if _furniture(x):
+        shut = any(_within(x, p) for p in opened) or any(x.path[k - 1][0] in _ASIDE or _NOTE_CLASS.search(x.path[k - 1][2]) for k in deeper)
+        if shut or deeper and own != at and boxes[own][1] < 0.75 * boxes[own][0]:
+            parted = loose
             continue
-        out.append(x)
-        if ratios[i] >= threshold:
-            last = len(out)
-    # Lines after the last content line stay only as the rest of a list, or as a caption.
-    end = last
-    while end < len(out) and (out[end].tag in ("li", "figcaption", "blockquote", "p", "h2", "h3") or not last):
-        end += 1
-    return out[: max(end, 1)]
+        if furniture[i]:
+            continue
+        if parted:
+            clusters.append([])
+            parted = False
+        clusters[-1].append(i)
+        before.update(x.path[:k] for k in deeper)
+    sizes = [sum(len(lines[i].text) for i in c if content[i] and i != head) for c in clusters]
+    out: list[int] = []
+    for k, c in enumerate(clusters):
+        if k and (not sizes[k] or 2 * sizes[k] < max(sizes)):
+            continue
+        # Lines after the last content line stay only as the rest of a list, or as a caption.
+        end = max((n + 1 for n, i in enumerate(c) if content[i] and i != head), default=1 - bool(k))
+        any_content = sizes[k] > 0
+        while end < len(c) and (lines[c[end]].tag in ("li", "figcaption", "blockquote", "p", "h2", "h3") or not any_content):
+            end += 1
+        out += c[:end]
+    return out
 
 
 def block_md5(text: str) -> str:

@@ -84,6 +84,21 @@ def test_main_blocks(spark):
     assert boilerplate.main_blocks(df.limit(0)).count() == 0
 
 
+def test_main_blocks_in_boxes():
+    text = lambda html: [x.text for x in boilerplate.main_lines(html)]
+    nav = '<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>'
+    end = "<footer><p>© 2025 Site. All rights reserved.</p></footer>"
+    side = "<aside><h3>Related articles</h3><ul><li>Another headline of the site</li></ul></aside>"
+    head = "<header><h1>Headline here</h1><p class=by>By Ann Other on 2 May 2025</p></header>"
+    a, b, c, d = PROSE
+    assert text(f"<html><body>{nav}<article>{head}<p>{a}</p><p>{b}</p></article>{side}{end}</body></html>") == ["Headline here", a, b]
+    boxed = f"<p>{a}</p><div><p>{b}</p></div>{side}<section><h2>A subhead of it</h2><p>{c}</p></section><table><tr><td>{d}</td></tr></table><p>Read on.</p>"
+    assert text(f"<html><body>{nav}<article><h1>Headline here</h1>{boxed}</article>{end}</body></html>") == ["Headline here", a, b, "A subhead of it", c, d, "Read on."]
+    related = "<div><div><h3>Related</h3></div><ul><li>Another headline of the site</li><li>One more of its headlines</li></ul></div>"
+    assert text(f"<html><body>{nav}<article>{head}<div><p>{a}</p><p>{b}</p>{related}</div><p>{c}</p></article>{side}{end}</body></html>") == ["Headline here", a, b, c]
+    assert text(f"<html><body>{nav}<h1>Headline here</h1><p>{a}</p><div><p>{b}</p></div>{side}<p>One more line about the author.</p>{end}</body></html>") == ["Headline here", a, b]
+
+
 def test_block_md5():
     assert boilerplate.block_md5("é") == __import__("hashlib").md5("é".encode()).hexdigest()
 
