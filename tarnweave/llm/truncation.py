@@ -38,6 +38,8 @@ _ALL = (1 << 64) - 1
 ORDERS = (3, 5)
 #: An ending must be seen so often, besides the text itself, to be a usual one.
 SUPPORT = 4
+#: Tokens of a segment whose prefixes are counted as they are; those of longer ones are hashed at once.
+SHOWN = 16
 #: Log-odds above an average character's from which a full stop can end a text.
 DOT_MARGIN = 1.0
 #: Times that the longer context of a full stop must be seen to be used.
@@ -96,7 +98,7 @@ def _last_segment(text: str) -> str:
 
 
 def _segment_shapes(segment: str) -> list[str]:
-    """Masked prefixes of a segment, one for each token, and without its punctuation if it has any."""
+    """Masked prefixes of a segment, one for each of the first tokens, and without its punctuation if it has any."""
     tokens = segment.split()
     if not tokens:
         return []
@@ -104,7 +106,7 @@ def _segment_shapes(segment: str) -> list[str]:
     shapes = [shape]
     if _bare(shape) != shape:
         shapes.append(_bare(shape))
-    for token in tokens[1:16]:
+    for token in tokens[1:SHOWN]:
         kind, bare = _kinds(token)
         shapes.append(f"{shape} {bare}")
         shape = f"{shape} {kind}"
@@ -113,6 +115,24 @@ def _segment_shapes(segment: str) -> list[str]:
     return shapes
 
 
+def _later_keys(segment: str) -> list[int]:
+    """The keys of the longer prefixes of a segment; hashed on from one to the next, as their shapes add up to a square."""
+    tokens = segment.split()
+    if len(tokens) <= SHOWN:
+        return []
+    kinds = [_kinds(t) for t in tokens[1:]]
+    shape = xxhash.xxh3_64("\x1f".join(["s", " ".join([tokens[0].lstrip("“\"«‘'"), *(kind for kind, _ in kinds[: SHOWN - 1])])]))
+    keys = []
+    for kind, bare in kinds[SHOWN - 1 :]:
+        if bare != kind:
+            other = shape.copy()
+            other.update(f" {bare}")
+            keys.append(other.intdigest() >> (64 - _BITS))
+        shape.update(f" {kind}")
+        keys.append(shape.intdigest() >> (64 - _BITS))
+    return keys
+
+
 def _whole_shape(segment: str, omitted: bool) -> str:
     tokens = segment.split()
     head = tokens[0].lstrip("“\"«‘'") if tokens else ""
@@ -208,7 +228,7 @@ def _count(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             by_language: dict[str, list[str]] = {}
             shown: Counter[str] = Counter()
-            for text, language in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 e = _Ending(text, language)
                 by_language.setdefault(language, []).append(e.final.lower())
                 for n in ORDERS:
@@ -221,6 +241,8 @@ def _count(docs: DataFrame) -> np.ndarray:
                             sums[5, k] -= 1
                 for segment in _ENDED.split(e.final):
                     shown.update(_segment_shapes(segment))
+                    for k in _later_keys(segment):
+                        on_seg[k] = on_seg.get(k, 0) + 1
                 if not e.terminated:
                     k = _key("s", _whole_shape(e.segment, e.omitted))
                     ends_seg[k] = ends_seg.get(k, 0) + 1
@@ -266,7 +288,9 @@ def ending_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     lang = language if language is not None else F.lit("und")
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), lang.alias("_lang"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
     base = base.where(F.col("_text").isNotNull() & F.col("_text").rlike(r"\S"))
-    model = spark.sparkContext.broadcast(_count(base.select("_id", "_text", "_lang")))
+    # Copies of a text don't vouch for its end: each text is counted once, under the first of its languages.
+    distinct = base.groupBy("_text").agg(F.min("_lang").alias("_lang"))
+    model = spark.sparkContext.broadcast(_count(distinct))
     average = F.log(F.count("*") / F.greatest(F.lit(1), F.sum(F.length("_text")))).alias("average")
     averages = spark.sparkContext.broadcast({r._lang: r.average for r in base.groupBy("_lang").agg(average).where("average is not null").orderBy(F.col("average")).limit(1000).collect()})
 

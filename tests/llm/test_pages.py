@@ -158,7 +158,24 @@ def test_one_context_hashes_like_many():
 
 def test_full_stop_inside_a_sentence(spark):
     names = ["Ann", "Bob", "Cleo", "Dora", "Emil", "Fay"]
-    rows = [(i, " ".join([*PROSE, f"In the morning Dr. {names[i % 6]} walked to the old house.", PROSE[i % 4], f"After that Dr. {names[(i + 1) % 6]} left."])) for i in range(400)]
+    rows = [(i, " ".join([*PROSE, f"It is day {i}.", f"In the morning Dr. {names[i % 6]} walked to the old house.", PROSE[i % 4], f"After that Dr. {names[(i + 1) % 6]} left."])) for i in range(400)]
     cut = [(1000, f"{PROSE[0]} In the morning Dr."), (1001, f"{PROSE[1]} {PROSE[2]} After that Dr.")]
     scores = truncation.ending_scores(spark.createDataFrame(rows + cut, "doc_id long, text string")).where("truncated").collect()
     assert {r.doc_id for r in scores} == {1000, 1001} and all(r.log_odds < -5 for r in scores)
+
+
+def test_copies_and_long_beginnings_are_no_usual_endings(spark):
+    whole = [(i, " ".join(PROSE[(i + k) % 4] for k in range(3)) + f" It is {i}.") for i in range(40)]
+    copies = [(1000 + i, f"{PROSE[0]} {PROSE[1][:60].rsplit(' ', 1)[0]}") for i in range(8)]
+    words = "the old road leads along a river and a wall to the small house behind the narrow tower and on"
+    long = [(3000 + i, f"{PROSE[i % 4]} Here {' '.join(w + c for w in words.split())}") for i, c in enumerate("abcdefgh")]
+    told = [(2000 + i, f"{PROSE[i % 4]} Here {' '.join(w + c for w in words.split())} to the end of it.") for i, c in enumerate("ijklmnopqrstuvwx")]
+    scores = truncation.ending_scores(spark.createDataFrame(whole + copies + long + told, "doc_id long, text string")).where("truncated").collect()
+    assert {r.doc_id for r in scores} == {i for i, _ in copies + long}
+
+
+def test_later_keys_are_those_of_whole_shapes():
+    segment = "“Here " + " ".join(f"Word{'' if k % 3 else ','} 1{k}" for k in range(20))
+    tokens = segment.split()
+    keys = set(truncation._later_keys(segment))
+    assert all(truncation._key("s", truncation._whole_shape(" ".join(tokens[:k]), False)) in keys for k in range(truncation.SHOWN + 1, len(tokens)))
