@@ -243,23 +243,25 @@ def similar_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int = 5,
     return links, members
 
 
-def near_duplicate_pairs(docs: DataFrame, *, id_col: str, text_col: str, n: int, threshold: float, min_words: int, full_copies: int = 64, where: Column | None = None) -> DataFrame:
+def near_duplicate_pairs(docs: DataFrame, *, id_col: str, text_col: str, n: int, threshold: float, min_words: int, full_copies: int | None = None, where: Column | None = None) -> DataFrame:
     """All pairs (id_a < id_b) of documents at or above the threshold, with their similarity.
 
-    Links between different texts are expanded to every member of both classes. Exact copies
-    are expanded to all pairs while a class has at most ``full_copies`` members; in a larger
-    class each member is paired with the representative only, which says the same in linear
-    space, and its links to other texts are given for the representative.
+    Links between different texts are expanded to every member of both classes, and exact copies
+    to all pairs. With ``full_copies``, each member of a class of more members is paired with the
+    representative only, which says the same in linear space, and its links to other texts are
+    given for the representative.
     """
     links, members = similar_classes(docs, id_col=id_col, text_col=text_col, n=n, threshold=threshold, min_words=min_words, where=where)
     links = cut(links)
     sizes = members.groupBy("rep").agg(F.count("*").alias("copies"))
-    small = members.join(sizes.where(F.col("copies") <= full_copies), "rep").select("doc", "rep")
+    small = members if full_copies is None else members.join(sizes.where(F.col("copies") <= full_copies), "rep").select("doc", "rep")
     # Expansion of links: a class without a members row has its representative only.
     a = links.join(small.select(F.col("rep").alias("a"), F.col("doc").alias("doc_a")), "a", "left").withColumn("doc_a", F.coalesce("doc_a", "a"))
     ab = a.join(small.select(F.col("rep").alias("b"), F.col("doc").alias("doc_b")), "b", "left").withColumn("doc_b", F.coalesce("doc_b", "b"))
     different = ab.select(F.least("doc_a", "doc_b").alias("id_a"), F.greatest("doc_a", "doc_b").alias("id_b"), "similarity")
     within = small.alias("p").join(small.alias("q"), (F.col("p.rep") == F.col("q.rep")) & (F.col("p.doc") < F.col("q.doc"))).select(F.col("p.doc").alias("id_a"), F.col("q.doc").alias("id_b"), F.lit(1.0).alias("similarity"))
+    if full_copies is None:
+        return different.unionByName(within)
     star = members.join(sizes.where(F.col("copies") > full_copies), "rep").where("doc <> rep").select(F.least("doc", "rep").alias("id_a"), F.greatest("doc", "rep").alias("id_b"), F.lit(1.0).alias("similarity"))
     return different.unionByName(within).unionByName(star)
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnweave.llm import neardup
+from tarnweave.llm.queries import p4_found
 from tarnweave.llm.words import split_words
 
 
@@ -58,6 +59,14 @@ def test_large_class_is_a_star(spark):
     assert got == {(0, i) for i in range(1, 10)} | {(0, 50)}
 
 
+def test_the_query_gives_all_pairs_of_a_large_class(spark, tmp_path):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(i, "stored", text) for i in range(70)] + [(100, "stored", text + " and four words more"), (101, "stored", "short")]
+    spark.createDataFrame(rows, "seq long, outcome string, extracted_text string").write.parquet(f"{tmp_path}/crawl_records.parquet")
+    got = {(r.seq_a, r.seq_b) for r in p4_found(spark, str(tmp_path)).collect()}
+    assert got == {(a, b) for a in [*range(70), 100] for b in [*range(70), 100] if a < b}
+
+
 def test_groups(spark):
     base = [f"w{i}" for i in range(100)]
     chain = [(i, " ".join(base[:60] + [f"x{k}" for k in range(i)] + base[60 + i :])) for i in range(0, 12)]
