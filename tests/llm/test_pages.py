@@ -58,6 +58,13 @@ def test_stuffing(spark, sf):
     assert stuffing.stuffing_scores(df.limit(0), model, id_col="seq", text_col="body").count() == 0
 
 
+def test_short_stuffing(spark, sf):
+    model = stuffing.fit_prose_model(spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet"), text_col="text", language_col="lang")
+    rows = [(1, "cheap watches best tickets discount sofas " * 4, True), (2, " ".join(f"#cheap{i}shoes" for i in range(20)), True), (3, "Error 500. Something went wrong on our side, reference 1xuqkbw. Please try again later.", False), (4, "cheap watches", False)]
+    df = spark.createDataFrame([r[:2] for r in rows], "seq long, body string")
+    assert texts_of(stuffing.stuffing_scores(df, model, id_col="seq", text_col="body"), "stuffed") == {i: w for i, _, w in rows}
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>.x{}</style></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>
 <div class="c1">News › Shop › Headline here</div><p class="notice">We use cookies to improve your visit. Accept all or change your settings.</p>
 <section><h1>Headline here</h1><p class="by">By Ann Other on 2 May 2025</p><ul><li>Print</li><li>Copy link</li></ul>
