@@ -1,12 +1,13 @@
 """The main article of a web page, by text-to-tag ratios over the events of a streaming parser.
 
 The standard-library parser hands over tags and text one by one; text between block-level tags
-is a line. Each line has a text-to-tag ratio; the ratios are smoothed with a Gaussian kernel and
-lines above a threshold are content. The smallest container of the headline that holds half of
-the page's content is the article's, less what opens something else (comments, related titles) and
-boxes that aren't mostly content; if that is the whole page, content is parted there and clusters
-under half of the largest are left out. Lines that are furniture by what they say (bylines, sharing,
-notices, advertising) are taken out.
+is a line. Each line has a text-to-tag ratio; the ratios are smoothed with a Gaussian kernel, and
+two thresholds on them make clusters: lines above the upper one are cores, lines above the lower
+one belong to a cluster with a core. The smallest container of the headline that holds half of the
+cores' text is the article's, less boxes that aren't mostly cores and parts that open something
+else (titles or remarks of low ratio under a heading, or a usual heading of such parts). If the
+container is the whole page, clusters under half of the largest are left out. Then lines that
+are furniture by what they say (bylines, sharing, notices, advertising) are taken out.
 
 The same region rule serves text that has been flattened: there a sentence is a line.
 """
@@ -35,6 +36,9 @@ _CLOSES_P = frozenset({"p", "div", "section", "article", "aside", "nav", "footer
 _SAME = {"li": "li", "td": "td", "th": "td", "tr": "tr", "dt": "dt", "dd": "dd", "option": "option"}
 
 SIGMA, KERNEL = 1.0, 2
+#: Shares of the page's mean smoothed ratio, from which a line is a core of a cluster, and from which it may be in one.
+CORE, NEAR = 0.5, 0.2
+_HEADINGS = frozenset({"h2", "h3", "h4", "h5", "h6"})
 _WEIGHTS = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-KERNEL, KERNEL + 1)]
 
 #: Lines that open something that isn't the article (fixed values, usual headings).
@@ -67,6 +71,7 @@ _ADVERT = re.compile(
     re.I,
 )
 _REMARK = re.compile(r"^[^\W\d_][\w'’-]{1,30}(?: [^\W\d_][\w'’-]{1,30})?: \S")
+_WHOLE = re.compile(r"[.!?…][”\"»’)\]]*$")
 _NOTE_CLASS = re.compile(r"\b(?:bio|author|byline|by|notice|cookie|share|social|advert|ad|ads|promo|related|comments?|footer|nav|menu|breadcrumb|newsletter|dialog)\b", re.I)
 
 
@@ -198,27 +203,54 @@ def _furniture(line: Line) -> bool:
 
 
 def main_lines(html: str) -> list[Line]:
-    """The lines of the main article, in their order."""
+    """The lines of the main article, in their order.
+
+    Lines whose smoothed ratio is at least CORE of the page's mean are cores; a cluster is a run
+    of lines of at least NEAR of it with a core among them. No line outside a cluster is taken,
+    so a page without cores has no article.
+    """
     lines = lines_of(html)
     if not lines:
         return []
     ratios = smoothed_ratios(lines)
-    threshold = 0.5 * sum(ratios) / len(ratios)
+    mean = sum(ratios) / len(ratios)
+    furniture = [_furniture(x) for x in lines]
+    openers = [x.text.lower().rstrip(":") in OPENERS or _opens_titles(lines, i, mean) for i, x in enumerate(lines)]
+    content = [r > 0 and r >= CORE * mean and not f and not o and x.links < 0.5 * len(x.text) for x, r, f, o in zip(lines, ratios, furniture, openers, strict=True)]
+    near = [r > 0 and r >= NEAR * mean for r in ratios]
+    if not any(content):
+        return []
     head = next((i for i, x in enumerate(lines) if x.tag == "h1"), None)
     if head is None:
-        # No headline: the widest cluster of lines above the threshold leads itself.
+        # No headline: the cluster with the most text in its cores leads itself.
         best, start = (0, 0, 0), None
         for i in range(len(lines) + 1):
-            if i < len(lines) and ratios[i] >= threshold:
+            if i < len(lines) and near[i] and not openers[i]:
                 start = i if start is None else start
             elif start is not None:
-                best, start = max(best, (sum(len(x.text) for x in lines[start:i]), start, i)), None
-        return [x for x in lines[best[1] : best[2]] if not _furniture(x)]
-    furniture = [_furniture(x) for x in lines]
-    openers = [x.text.lower().rstrip(":") in OPENERS for x in lines]
-    content = [r >= threshold and not f and not o and x.links < 0.5 * len(x.text) for x, r, f, o in zip(lines, ratios, furniture, openers, strict=True)]
+                best, start = max(best, (sum(len(lines[k].text) for k in range(start, i) if content[k]), start, i)), None
+        return [lines[i] for i in range(best[1], best[2]) if not furniture[i]]
     depth = _container(lines, head, content, openers)
-    return [lines[i] for i in _region(lines, head, depth, content, furniture, openers)]
+    return [lines[i] for i in _region(lines, head, depth, content, near, furniture, openers)]
+
+
+def _opens_titles(lines: list[Line], at: int, mean: float) -> bool:
+    """A heading whose part of its box holds titles, links or short remarks only, and little text to its tags.
+
+    Such a part is a list of other articles or of comments, whatever its heading says.
+    """
+    if lines[at].tag not in _HEADINGS:
+        return False
+    path = lines[at].path
+    box = path[: max(_boxes(path[:-1], 0), default=0)]
+    ratios = []
+    for x in lines[at + 1 :]:
+        if x.tag in _HEADINGS or not _within(x, box) or x.tag not in ("li", "p", "a", "dd", "dt"):
+            break
+        if _WHOLE.search(x.text) and not _REMARK.match(x.text):
+            return False
+        ratios.append(len(x.text) / max(1, x.tags))
+    return len(ratios) > 1 and sum(ratios) < mean * len(ratios)
 
 
 def _within(x: Line, path: tuple) -> bool:
@@ -246,12 +278,12 @@ def _container(lines: list[Line], head: int, content: list[bool], openers: list[
     return 0
 
 
-def _region(lines: list[Line], head: int, depth: int, content: list[bool], furniture: list[bool], openers: list[bool]) -> list[int]:
-    """The lines of the article in the headline's container.
+def _region(lines: list[Line], head: int, depth: int, content: list[bool], near: list[bool], furniture: list[bool], openers: list[bool]) -> list[int]:
+    """The lines of the article in the headline's container: clusters of content, cut where something else is opened.
 
-    What openers open, and boxes whose text isn't mostly content, is left out. If the container is a box
-    of the article's own, the rest is the article. On a page without one they also part clusters: the
-    headline's is taken, and later ones at least half as large as the largest.
+    What openers open, and boxes whose text isn't mostly content, is left out, and so is every
+    cluster without a core. On a page without a box of the article's own the headline's cluster is
+    taken, and later ones at least half as large as the largest.
     """
     home = lines[head].path[:depth]
     inside = [i for i in range(head + 1, len(lines)) if _within(lines[i], home)]
@@ -282,6 +314,9 @@ def _region(lines: list[Line], head: int, depth: int, content: list[bool], furni
         if shut or deeper and own != at and boxes[own][1] < 0.75 * boxes[own][0]:
             parted = loose
             continue
+        if not near[i]:
+            parted = True
+            continue
         if furniture[i]:
             continue
         if parted:
@@ -292,14 +327,9 @@ def _region(lines: list[Line], head: int, depth: int, content: list[bool], furni
     sizes = [sum(len(lines[i].text) for i in c if content[i] and i != head) for c in clusters]
     out: list[int] = []
     for k, c in enumerate(clusters):
-        if k and (not sizes[k] or 2 * sizes[k] < max(sizes)):
+        if k and (not sizes[k] or loose and 2 * sizes[k] < max(sizes)):
             continue
-        # Lines after the last content line stay only as the rest of a list, or as a caption.
-        end = max((n + 1 for n, i in enumerate(c) if content[i] and i != head), default=1 - bool(k))
-        any_content = sizes[k] > 0
-        while end < len(c) and (lines[c[end]].tag in ("li", "figcaption", "blockquote", "p", "h2", "h3") or not any_content):
-            end += 1
-        out += c[:end]
+        out += c
     return out
 
 
@@ -337,7 +367,6 @@ def _entry(kinds: frozenset[str]) -> str:
 
 
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[”\"»’)\]]*\s+")
-_WHOLE = re.compile(r"[.!?…][”\"»’)\]]*$")
 _ENTRY = re.compile(rf"(?:{_entry(OPENERS | SHARING)}):?(?=\s+[^\W\d_a-zа-яà-öø-ÿ]|\s*©|\s*$)")
 _FLAT_BYLINE = re.compile(r"(?:By|Von|Par|Por|Di|Da|Автор)\s+[^\W\d_]\S*(?:\s+[^\W\d_]\S*){0,3}?,?\s+(?:(?:on|am|le|el|il|em|a)\s+)?\d{1,2}\.?\s+(?:de\s+)?[^\W\d_]+\.?\s+(?:de\s+)?\d{4}(?!\d)")
 #: What follows a notice of cookies in its own sentence (fixed values).

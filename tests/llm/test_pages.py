@@ -106,6 +106,28 @@ def test_main_blocks_in_boxes():
     assert text(f"<html><body>{nav}<h1>Headline here</h1><p>{a}</p><div><p>{b}</p></div>{side}<p>One more line about the author.</p>{end}</body></html>") == ["Headline here", a, b]
 
 
+UNLISTED = f"""<html><body><div class=top><a href=/>Start</a> <a href=/a>All</a> <a href=/z>Zine</a></div><div><h1>Headline here</h1><p>{PROSE[0]}</p><p>{PROSE[1]}</p><h2>Sub</h2><p>{PROSE[2]}</p>
+<h3>Reader opinions</h3><p>Jo: Fine text</p><p>Ann: I like the map!</p><h3>More stories</h3><ul><li><a href=1>Old bridge closed</a></li><li><a href=2>New map found</a></li><li><a href=3>The market moves</a></li></ul></div>
+<div><a href=/i>Who we are</a> <a href=/j>Jobs</a></div></body></html>"""
+
+
+def test_parts_under_headings_of_any_wording():
+    assert [x.text for x in boilerplate.main_lines(UNLISTED)] == ["Headline here", PROSE[0], PROSE[1], "Sub", PROSE[2]]
+
+
+def test_ratios_decide(monkeypatch, sf):
+    import pyarrow.parquet as pq
+
+    pages = [h for h in pq.read_table(f"{sf}/page_contents.parquet")["html"].to_pylist() if h]
+    blocks = lambda: [{x.text for x in boilerplate.main_lines(h)} for h in pages]
+    before, real = blocks(), boilerplate.smoothed_ratios
+    monkeypatch.setattr(boilerplate, "smoothed_ratios", lambda lines: [0.0] * len(lines))
+    assert not any(blocks())
+    monkeypatch.setattr(boilerplate, "smoothed_ratios", lambda lines: [1 / (1 + r) for r in real(lines)])
+    kept = sum(len(a & b) for a, b in zip(before, blocks(), strict=True))
+    assert kept < 0.75 * sum(map(len, before))
+
+
 def test_block_md5():
     assert boilerplate.block_md5("é") == __import__("hashlib").md5("é".encode()).hexdigest()
 
