@@ -14,21 +14,24 @@ SCHEMA = "chunk int, packed binary"
 
 
 def packed(counts: np.ndarray) -> pa.RecordBatch:
-    """One partition's counters as rows of ``SCHEMA``; the length is a multiple of CHUNK."""
-    parts = counts.reshape(-1, CHUNK)
-    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([zlib.compress(p.astype("<i8").tobytes(), 1) for p in parts], pa.binary())], names=["chunk", "packed"])
+    """One partition's counters as rows of ``SCHEMA``, without chunks of zeros; the length is a multiple of CHUNK."""
+    parts = [(i, p) for i, p in enumerate(counts.reshape(-1, CHUNK)) if p.any()]
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([zlib.compress(p.astype("<i8").tobytes(), 1) for _, p in parts], pa.binary())], names=["chunk", "packed"])
 
 
-def summed(rows: DataFrame, size: int) -> np.ndarray:
-    """The sum over all partitions; what reaches the driver is ``size`` counters, whatever the input."""
+def summed(rows: DataFrame, size: int, kind: type = np.int64) -> np.ndarray:
+    """The sum over all partitions; what reaches the driver is ``size`` counters, whatever the input.
+
+    ``kind`` is that of the result. Sums are made in 64 bits; as float32 they keep seven digits.
+    """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, dtype=np.int64)
         for p in pdf["packed"]:
             total += np.frombuffer(zlib.decompress(p), dtype="<i8")
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "packed": [zlib.compress(np.minimum(total, 2**31 - 1).astype("<i4").tobytes(), 1)]})
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "packed": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
 
-    out = np.zeros(size, dtype=np.int32)
+    out = np.zeros(size, dtype=kind)
     for r in rows.groupBy("chunk").applyInPandas(add, SCHEMA).collect():
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.packed), dtype="<i4")
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.packed), dtype="<i8")
     return out

@@ -203,8 +203,32 @@ def test_copies_and_long_beginnings_are_no_usual_endings(spark):
     assert {r.doc_id for r in scores} == {i for i, _ in copies + long}
 
 
-def test_later_keys_are_those_of_whole_shapes():
-    segment = "“Here " + " ".join(f"Word{'' if k % 3 else ','} 1{k}" for k in range(20))
-    tokens = segment.split()
-    keys = set(truncation._later_keys(segment))
-    assert all(truncation._key("s", truncation._whole_shape(" ".join(tokens[:k]), False)) in keys for k in range(truncation.SHOWN + 1, len(tokens)))
+def test_class_counts_decide(sf):
+    """Without the counts, or with those of other contexts, no ending is a usual one."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    texts = {t for t in pq.read_table(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")["text"].to_pylist() if t and t.strip()}
+    endings = [truncation._Ending(t, "en") for t in sorted(texts)]
+    counts = np.zeros((truncation.ROWS, truncation._SIZE))
+    truncation._add(counts, endings)
+    load = counts[1:-2:2].mean(axis=1)
+    open_ends = [e for e in endings if not e.terminated]
+    least = -np.log(np.mean([len(t) for t in texts])) + truncation.MARGIN
+
+    def whole(model):
+        return int((truncation._class_scores(model, load, open_ends) >= least).sum())
+
+    assert whole(counts) > 0.1 * len(open_ends)
+    assert whole(np.zeros_like(counts)) == 0 and whole(np.roll(counts, 77, axis=1)) < 0.2 * whole(counts)
+
+
+def test_symbols():
+    stream, ends = truncation.symbols(["Ab’c d12 “(X)”", "https://h.test/abc Zé"])
+    pad = [truncation._START] * truncation.ORDERS[-1]
+    a, up, sp, d = truncation._LOWER, truncation._UPPER, truncation._SPACE, truncation._DIGIT
+    assert stream.tolist() == [*pad, up, sp, a, d, d, sp, 16 + ord("("), up, 16 + ord(")"), *pad, 16 + 0xE004, sp, up]
+    assert ends.tolist() == [len(pad) + 9, len(stream)]
+    marked, plain = truncation._end_keys([truncation._Ending("x " * 3000 + "(X)", "en"), truncation._Ending("", "en")])
+    keys = truncation._class_keys(truncation.symbols(["x " * 3000 + "(X)"])[0])
+    assert [int(plain[k][0]) for k in range(len(truncation.ORDERS))] == [int(keys[n][-1]) for n in truncation.ORDERS]
