@@ -1,4 +1,4 @@
-"""Bounded samples of rows to fit a model on."""
+"""Bounded samples of rows to fit a model on, and the spreading of small inputs."""
 
 from __future__ import annotations
 
@@ -17,3 +17,12 @@ def bounded_sample(rows: DataFrame, text_col: str, size: int, total: int | None
     if total > 4 * size:
         rows = rows.where(h < F.lit(int(-(2**63) + 2**64 * (2.0 * size / total))))
     return rows.withColumn("_hash", h).orderBy("_hash").limit(size).drop("_hash")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, where the files give fewer parts than there are cores.
+
+    Only a small table is, or one in few large row groups; a table of many parts stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
