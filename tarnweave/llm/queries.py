@@ -13,7 +13,7 @@ from tarnweave.session import table
 def p1_scores(spark: SparkSession, sf: str) -> DataFrame:
     from tarnweave.llm.residue import residue_scores
 
-    return residue_scores(table(spark, sf, "crawl_records"), id_col="seq", text_col="extracted_text")
+    return residue_scores(table(spark, sf, "crawl_records"), id_col="seq", text_col="extracted_text", status_col="status", url_col="final_url")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p1_templates(spark: SparkSession, sf: str) -> DataFrame:
     from tarnweave.llm.residue import mine_templates
 
-    return mine_templates(table(spark, sf, "crawl_records"), "extracted_text")
+    return mine_templates(table(spark, sf, "crawl_records"), "extracted_text", "status", "final_url")
 
 
 def p2_scores(spark: SparkSession, sf: str) -> DataFrame:

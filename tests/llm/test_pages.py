@@ -33,6 +33,29 @@ def test_residue(spark):
     assert residue.mine_templates(df, "body").where("verdict = 'error'").count() >= 1
 
 
+UNSEEN = ["We couldn't load this content right now.", "This article has been removed by its owner.", "Deze pagina bestaat niet meer.", "The shelf you asked for stands empty today."]
+
+
+def test_messages_of_unseen_wording(spark):
+    """The company of a template decides where no wording is known: it recurs alone, in records that failed."""
+    rows = [(10 * k + i, f"http://h{i}.test/p{k}", 503 if i % 2 else 200, f"Zine Boards Wiki{i} {m}" if i == 3 else m if i else f"{m} Item {k}{i}x.") for k, m in enumerate(UNSEEN) for i in range(6)]
+    rows += [(1000 + i, f"http://h{i}.test/a", 200, f"{' '.join(PROSE)} Story number {i}. {UNSEEN[0]}") for i in range(1)]
+    rows += [(2000 + i, f"http://h{i}.test/o", 200, f"Open daily from {i} to 17.") for i in range(8)]
+    df = spark.createDataFrame(rows, "seq long, url string, status int, body string")
+    got = {r.seq for r in residue.residue_scores(df, id_col="seq", text_col="body", status_col="status", url_col="url").where("residue").collect()}
+    wanted = {r[0] for r in rows if r[0] < 1000}
+    assert len(got & wanted) >= 0.8 * len(wanted) and not {s for s in got if s >= 1000}
+    alone = residue.residue_scores(df.withColumn("status", F.lit(None).cast("int")), id_col="seq", text_col="body", status_col="status", url_col="url")
+    assert alone.where("residue").count() == 0
+
+
+def test_company_merges_over_leaves():
+    kind = residue.by_company
+    assert kind(10, 10, 0, 4, 0b1111, 1, 5) == "error" and kind(10, 10, 6, 0, 0b1111, 1, 5) == "error"
+    assert kind(10, 10, 0, 0, 0b1111, 1, 5) is None and kind(10, 5, 6, 6, 0b1111, 1, 5) is None and kind(10, 10, 6, 0, 0b1, 1, 5) is None
+    assert kind(100, 20, 0, 0, 2**40 - 1, 2**20 - 1, 5) == "furniture"
+
+
 def test_templates_merge_in_any_order():
     a, b, c = ("x 1 y z".split(), "x 2 y z".split(), "x 1 y w".split())
     merge = residue.in_common
