@@ -3,7 +3,7 @@
 Records are partitioned by their id and ordered, so that a term's occurrences in one record
 come together. Each term has a counter (occurrences, records, last record id): when a token
 arrives, the record count goes up only if the record differs from the last one seen. No set of
-records is kept for any term. Partial counters of a partition are for disjoint records, so they
+records is kept for any term, and nothing for a record. Partial counters of a partition are for disjoint records, so they
 add up, and a term held by every record is one row per partition before the second shuffle.
 """
 
@@ -43,33 +43,20 @@ def term_counters(docs: DataFrame, *, id_col: str = "id", freqs_col: str = "term
             counters.clear()
             return out
 
-        current, counts = None, {}
-
-        def close() -> None:
-            for term, count in counts.items():
-                c = counters.get(term)
-                if c is None:
-                    counters[term] = [count, 1, current]
-                else:
-                    c[0] += count
-                    if c[2] != current:
-                        c[1] += 1
-                        c[2] = current
-
+        current, row = None, 0
         for pdf in batches:
             for rid, freqs in zip(pdf["id"], pdf["freqs"], strict=True):
                 if rid != current:
-                    close()
-                    current, counts = rid, {}
+                    current = rid
                     if len(counters) > COUNTERS_KEPT:
                         yield flush()
-                own = _terms_of(freqs, reduced)
-                if counts:
-                    for term, count in own.items():
-                        counts[term] = max(count, counts.get(term, 0))
-                else:
-                    counts = own
-        close()
+                row += 1
+                for key, count in freqs:
+                    if count is None or not count >= 1:
+                        continue
+                    term = _reduced(key, reduced)
+                    if term:
+                        see(counters, term, rid, row, int(count))
         yield flush()
 
     rows = docs.select(F.col(id_col).alias("id"), F.map_entries(freqs_col).alias("freqs")).where("id is not null and freqs is not null")
@@ -91,30 +78,43 @@ def term_counters(docs: DataFrame, *, id_col: str = "id", freqs_col: str = "term
     return pairs.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
 
 
-def _terms_of(freqs, reduced: dict[str, str]) -> dict[str, int]:
-    """The reduced terms of one row with their counts; ``reduced`` remembers reductions."""
-    own: dict[str, int] = {}
-    for key, count in freqs:
-        if count is None or not count >= 1:
-            continue
-        term = reduced.get(key)
-        if term is None:
-            if len(reduced) > COUNTERS_KEPT:
-                reduced.clear()
-            term = reduced[key] = reduce_term(key)
-        if term:
-            own[term] = own.get(term, 0) + int(count)
-    return own
+def see(counters: dict[str, list], term: str, record, row: int, count: int) -> None:
+    """One token entry of a record: (occurrences, records, last record, last row, sum in that row, greatest sum of a row).
+
+    Records come in order, so that a term is new to a record exactly if its last one differs. In
+    another row of the same record only what exceeds the greatest sum so far is added.
+    """
+    c = counters.get(term)
+    if c is None:
+        counters[term] = [count, 1, record, row, count, count]
+    elif c[2] != record:
+        c[0] += count
+        c[1] += 1
+        c[2:] = record, row, count, count
+    else:
+        c[4] = c[4] + count if c[3] == row else count
+        c[3] = row
+        if c[4] > c[5]:
+            c[0] += c[4] - c[5]
+            c[5] = c[4]
+
+
+def _reduced(key: str, reduced: dict[str, str]) -> str:
+    """The reduced term; ``reduced`` remembers reductions."""
+    term = reduced.get(key)
+    if term is None:
+        if len(reduced) > COUNTERS_KEPT:
+            reduced.clear()
+        term = reduced[key] = reduce_term(key)
+    return term
 
 
 def _each_row(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     reduced: dict[str, str] = {}
     for pdf in batches:
-        best: dict[tuple, int] = {}
-        for rid, freqs in zip(pdf["id"], pdf["freqs"], strict=True):
-            for term, n in _terms_of(freqs, reduced).items():
-                best[rid, term] = max(n, best.get((rid, term), 0))
-        yield pd.DataFrame([(i, t, n) for (i, t), n in best.items()], columns=["id", "term", "n"])
+        found = [(rid, row, _reduced(key, reduced), int(count)) for row, (rid, freqs) in enumerate(zip(pdf["id"], pdf["freqs"], strict=True)) for key, count in freqs if count is not None and count >= 1]
+        sums = pd.DataFrame(found, columns=["id", "row", "term", "n"]).groupby(["id", "row", "term"], as_index=False)["n"].sum()
+        yield sums[sums["term"] != ""].groupby(["id", "term"], as_index=False)["n"].max()
 
 
 def _as_pairs(run):
