@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm.residue import is_notice, menu_of
+from tarnweave.llm.samples import spread
 
 INLINE = frozenset({"a", "b", "i", "em", "strong", "span", "code"})
 _SILENT = frozenset({"script", "style", "noscript", "template"})
@@ -343,7 +344,7 @@ def main_blocks(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "h
     Null or blank html gives no rows; null ids are kept; repeated rows of a page repeat their
     blocks; broken markup is read as far as it goes; other columns are ignored.
     """
-    base = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).where(F.col("_html").rlike(r"\S"))
+    base = spread(pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).where(F.col("_html").rlike(r"\S")))
     kind = base.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,7 +462,7 @@ def main_text_of_flat(text: str) -> str:
 
 def flat_main_text(records: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """(id, main_text, kept_share) of each record with text, from text without markup."""
-    base = records.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(r"\S"))
+    base = spread(records.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(r"\S")))
     kind = base.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnweave.llm.samples import bounded_sample
+from tarnweave.llm.samples import bounded_sample, spread
 from tarnweave.llm.words import slices
 
 #: Cells of the filter (a power of two) and lookups per n-gram.
@@ -195,7 +195,7 @@ def language_segments(docs: DataFrame, filters: LanguageFilters, *, id_col: str,
     kept, null and blank texts give no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    base = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()))
     kind = base.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

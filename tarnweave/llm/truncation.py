@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm.counters import SCHEMA, packed, summed
+from tarnweave.llm.samples import spread
 from tarnweave.llm.words import slices
 
 _BITS = 20
@@ -281,7 +282,7 @@ def ending_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     keep = keep or []
     lang = language_bucket(language if language is not None else F.lit(None).cast("string"))
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), lang.alias("_lang"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
-    base = base.where(F.col("_text").isNotNull() & F.col("_text").rlike(r"\S"))
+    base = spread(base.where(F.col("_text").isNotNull() & F.col("_text").rlike(r"\S")))
     # Copies of a text don't vouch for its end: each text is counted once, under the first of its languages.
     distinct = base.groupBy("_text").agg(F.min("_lang").alias("_lang"))
     counts = _count(distinct)

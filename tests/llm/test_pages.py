@@ -81,6 +81,20 @@ def test_stuffing(spark, sf):
     assert stuffing.stuffing_scores(df.limit(0), model, id_col="seq", text_col="body").count() == 0
 
 
+def test_perplexity_decides(sf):
+    """Prose without any sentence end is none of ended sentences either; its perplexity alone spares it."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    rows = [r for r in pq.read_table(sf.replace("sf0.001", "sf0.01") + "/documents.parquet", columns=["text", "lang"]).to_pylist() if r["text"]]
+    model = stuffing.ProseModel.fit([r["text"] for r in rows], [(r["lang"] or "").strip().lower()[:2] for r in rows])
+    texts = [t for r in rows if len((t := re.sub(r"[.!?…]", " ", r["text"])).split()) >= 45]
+    assert sum(not stuffing._of_sentences(t) for t in texts) > 0.95 * len(texts)
+    shares = [(abnormal / words, model.page("cheap watches best tickets discount sofas " * (words // 6))) for words, abnormal, _, _, _ in map(model.page, texts)]
+    assert max(share for share, _ in shares) < 0.6 and min(page[1] / page[0] for _, page in shares) > 0.6
+
+
 def test_short_stuffing(spark, sf):
     model = stuffing.fit_prose_model(spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet"), text_col="text", language_col="lang")
     rows = [(1, "cheap watches best tickets discount sofas " * 4, True), (2, " ".join(f"#cheap{i}shoes" for i in range(20)), True), (3, "Error 500. Something went wrong on our side, reference 1xuqkbw. Please try again later.", False), (4, "cheap watches", False)]
