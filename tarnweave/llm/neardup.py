@@ -8,7 +8,7 @@ a bound that follows from the sizes of the two sets alone:
   least t, the larger of two sets shares at least l elements with the smaller one within its
   first ``|y| - ceil(t*|y|) + l`` elements, which in the smaller one are among the first
   ``|x| - ceil(2t/(1+t)*|x|) + l``. Only those entries of A are multiplied. Any global order
-  gives the same result; rarity comes from a count sketch of bounded size, over all documents.
+  gives the same result; rarity comes from a count sketch over all documents, sized to the input within a bound.
 * Pairs whose sizes differ by more than t allows are left out of the product; of the others the
   overlap counts are accumulated, and pairs below l are discarded.
 * What is left is verified exactly on the full sets.
@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnweave.llm.counters import SCHEMA, packed, summed
+from tarnweave.llm.counters import packed, summed
+from tarnweave.llm.samples import spread
 from tarnweave.llm.words import WordHasher, mix, ngram_hashes, split_words
 from tarnweave.session import cut
 
+#: The fewest counters of the sketch; it grows with the input up to 2**26.
 SKETCH_BITS = 22
 #: Prefixes are lengthened so that a pair must share so many elements in them.
 COMMON = 4
@@ -47,62 +49,81 @@ def _word_sets(texts: list[str | None], n: int, min_words: int, hasher: WordHash
             yield i, words, np.unique(ngram_hashes(hasher(words), n))
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc, text_key): a 128-bit key of the word sequence, for texts of enough words."""
+_SCAN = "doc long, text_key binary, chunk int, packed binary"
+
+
+def _scan(docs: DataFrame, n: int, min_words: int, bits: int) -> DataFrame:
+    """One reading of all texts for two results: rows (doc, text_key), and rows (chunk, packed) of counters.
+
+    text_key is a 128-bit key of the word sequence, for texts of enough words. The counters say
+    how often each hash bucket of n-grams occurs over all documents; there are 2**bits.
+    """
+    schema = pa.schema([("doc", pa.int64()), ("text_key", pa.binary()), ("chunk", pa.int32()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, sums = WordHasher(), np.zeros(1 << bits, dtype=np.int32)
         for batch in batches:
-            ids, keys = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = split_words(text)
-                if doc is not None and len(words) >= min_words:
-                    ids.append(doc)
-                    keys.append(xxhash.xxh3_128_digest(" ".join(words)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["doc", "text_key"])
+            ids, owners, keys, found = batch.column(0).to_pylist(), [], [], []
+            for i, words, grams in _word_sets(batch.column(1).to_pylist(), n, min_words, hasher):
+                owners.append(ids[i])
+                keys.append(xxhash.xxh3_128_digest(" ".join(words)))
+                found.append(grams)
+            if found:
+                at = (np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64)
+                np.add.at(sums, at, 1)
+            nulls = pa.nulls(len(owners))
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(keys, pa.binary()), nulls.cast(pa.int32()), nulls.cast(pa.binary())], schema=schema)
+        counters = packed(sums)
+        nulls = pa.nulls(counters.num_rows)
+        yield pa.RecordBatch.from_arrays([nulls.cast(pa.int64()), nulls.cast(pa.binary()), *counters.columns], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc long, text_key binary")
+    return docs.select("doc", "text").mapInArrow(run, _SCAN)
 
 
-def _sketch(docs: DataFrame, n: int, min_words: int) -> np.ndarray:
-    """How often each hash bucket occurs over all documents; 2**SKETCH_BITS counters in all."""
+#: Steps of a counter's logarithm to base 2 that are told apart.
+STEPS = 8
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counters as levels of one byte: 0, 8 for 1, 13 for 2, and eight more for twice as many."""
+    return np.round(STEPS * np.log2(1.0 + counts)).astype(np.uint8)
+
+
+def _entries(level: np.ndarray, load: float) -> np.ndarray:
+    """What a level's counter has of one n-gram, less what others bring into a counter on average."""
+    return np.maximum(np.exp2(level / STEPS) - 1 - load, 0).astype(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sums = WordHasher(), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for batch in batches:
-            found = [h for _, _, h in _word_sets(batch.column(0).to_pylist(), n, min_words, hasher)]
-            if found:
-                at = np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)
-                np.add.at(sums, at.astype(np.int64), 1)
-        if sums.any():
-            yield packed(sums)
 
-    return summed(docs.mapInArrow(count, SCHEMA), 1 << SKETCH_BITS)
+def _sketch_bits(texts: DataFrame) -> int:
+    """As many counters as there are about four n-grams to each, within bounds: 4 million to 64 million."""
+    signs = texts.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    return min(26, max(SKETCH_BITS, math.ceil(math.log2(max(1, signs / 6 / 4)))))
 
 
-def _prefix_rows(docs: DataFrame, n: int, min_words: int, t: float, sketch) -> DataFrame:
+def _prefix_rows(docs: DataFrame, n: int, min_words: int, t: float, sketch, bits: int, load: float) -> DataFrame:
     """(cell, k, doc, size, head): the rarest n-grams of each set, as many as the bound asks for.
 
-    ``k`` identifies the n-gram (44 hash bits and its sketch count, which is a function of the
+    ``k`` identifies the n-gram (44 hash bits and the level of its counter, which is a function of the
     hash). ``head``: it is in the shorter prefix that suffices for the smaller set of a pair.
-    An n-gram whose sketch count is 1 occurs in no other document and is left out. A column with
+    An n-gram whose counter is 1 occurs in no other document and is left out. A column with
     more than CELL_ROWS expected entries is cut into blocks of documents, and each entry goes to
     every cell (block, block) of its row, so that no task gets a whole hot column.
     """
     schema = pa.schema([("cell", pa.int64()), ("k", pa.int64()), ("doc", pa.int64()), ("size", pa.int32()), ("head", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = WordHasher(), sketch.value
+        hasher, levels = WordHasher(), sketch.value
         for batch in batches:
             ids, ks, docs_, sizes, heads = batch.column(0).to_pylist(), [], [], [], []
             for i, _, grams in _word_sets(batch.column(1).to_pylist(), n, min_words, hasher):
                 size = len(grams)
-                est = counts[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+                level = levels[(grams >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
                 with np.errstate(over="ignore"):
-                    key = np.sort((np.minimum(est, 0x7FFFF) << np.uint64(44)) | ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)))
+                    key = np.sort((level << np.uint64(44)) | ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)))
                 least = min(COMMON, math.ceil(t * size - _FIXED))
                 key = key[: size - math.ceil(t * size - _FIXED) + least]
                 head = np.arange(len(key)) < size - math.ceil(2 * t / (1 + t) * size - _FIXED) + least
-                many = (key >> np.uint64(44)) > 1
+                many = (key >> np.uint64(44)) > STEPS
                 ks.append(key[many].astype(np.int64))
                 heads.append(head[many])
                 docs_.append(np.full(int(many.sum()), ids[i], dtype=np.int64))
@@ -110,7 +131,7 @@ def _prefix_rows(docs: DataFrame, n: int, min_words: int, t: float, sketch) -> D
             if not ks:
                 continue
             k, doc, size, head = (np.concatenate(x) for x in (ks, docs_, sizes, heads))
-            blocks = 1 + (k >> 44) // CELL_ROWS
+            blocks = 1 + _entries(k >> 44, load) // CELL_ROWS
             cell = np.zeros(len(k), dtype=np.int64)
             hot = np.flatnonzero(blocks > 1)
             if len(hot):
@@ -132,7 +153,7 @@ def _block(doc: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return (mix(doc.astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
 
 
-def _product(rows: DataFrame, t: float) -> DataFrame:
+def _product(rows: DataFrame, t: float, load: float) -> DataFrame:
     """(x, y, least): an entry for each common prefix element of two documents, x having the smaller set.
 
     ``least`` is how many the pair must have: COMMON, or what a very small set can have.
@@ -159,7 +180,7 @@ def _product(rows: DataFrame, t: float) -> DataFrame:
             left = np.repeat(np.arange(start, stop), own)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
             ok = (size[left] >= size[right] * t - _FIXED) & (doc[left] != doc[right])
-            blocks = 1 + (k[left] >> 44) // CELL_ROWS
+            blocks = 1 + _entries(k[left] >> 44, load) // CELL_ROWS
             if (blocks > 1).any():
                 a, b = _block(doc[left], blocks), _block(doc[right], blocks)
                 ok &= (blocks == 1) | (1 + np.minimum(a, b) * blocks + np.maximum(a, b) == cell[left])
@@ -226,7 +247,10 @@ def similar_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int = 5,
     spark = docs.sparkSession
     chosen = docs.where(where) if where is not None else docs
     base = chosen.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    keyed = _classes(base, "doc", "text", max(min_words, n))
+    base = spread(base)
+    bits = _sketch_bits(base)
+    scanned = cut(_scan(base, n, max(min_words, n), bits))
+    keyed = scanned.where("text_key is not null").select("doc", "text_key")
     # The class key is computed with partial aggregation, so a class of any size is one row
     # per task before the shuffle.
     reps = keyed.groupBy("text_key").agg(F.min("doc").alias("rep"), F.count_distinct("doc").alias("copies"))
@@ -235,9 +259,10 @@ def similar_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int = 5,
     dropped = members.where("doc <> rep").select("doc")
     # Repeated rows of one id may stay: they raise a count that only chooses what is verified.
     unique = base.join(dropped, "doc", "left_anti")
-    sketch = spark.sparkContext.broadcast(_sketch(base.select("text"), n, min_words))
-    rows = _prefix_rows(unique, n, min_words, threshold, sketch)
-    overlap = _product(rows, threshold).groupBy("x", "y").agg(F.count("*").alias("c"), F.max("least").alias("least"))
+    levels = summed(scanned.where("chunk is not null").select("chunk", "packed"), 1 << bits, np.uint8, _levels)
+    load = float(np.mean(np.exp2(levels / STEPS, dtype=np.float32) - 1))
+    rows = _prefix_rows(unique, n, min_words, threshold, spark.sparkContext.broadcast(levels), bits, load)
+    overlap = _product(rows, threshold, load).groupBy("x", "y").agg(F.count("*").alias("c"), F.max("least").alias("least"))
     candidates = overlap.where("c >= least").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     links = _verified(candidates, unique, n, threshold).dropDuplicates(["a", "b"])
     return links, members

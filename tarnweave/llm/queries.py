@@ -62,11 +62,15 @@ def p3_languages(spark: SparkSession, sf: str) -> DataFrame:
     return document_languages(_segments(spark, sf), "seq")
 
 
+#: Pairs and the groups they form: runs of three words, a similarity of 0.6, 50 words or more.
+_SIMILAR = {"id_col": "seq", "text_col": "extracted_text", "n": 3, "threshold": 0.6, "min_words": 50}
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from tarnweave.llm.neardup import near_duplicate_pairs
 
     records = table(spark, sf, "crawl_records")
-    pairs = near_duplicate_pairs(records, id_col="seq", text_col="extracted_text", n=3, threshold=0.6, min_words=50, where=F.col("outcome") == "stored")
+    pairs = near_duplicate_pairs(records, **_SIMILAR, where=F.col("outcome") == "stored")
     return pairs.select(F.col("id_a").alias("seq_a"), F.col("id_b").alias("seq_b"))
 
 
@@ -74,7 +78,7 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     from tarnweave.llm.neardup import near_duplicate_groups
 
     records = table(spark, sf, "crawl_records")
-    return near_duplicate_groups(records, id_col="seq", text_col="extracted_text", where=F.col("outcome") == "stored").withColumnRenamed("doc", "seq")
+    return near_duplicate_groups(records, **_SIMILAR, where=F.col("outcome") == "stored").withColumnRenamed("doc", "seq")
 
 
 def p6_blocks(spark: SparkSession, sf: str) -> DataFrame:

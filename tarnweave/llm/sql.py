@@ -21,10 +21,18 @@ n AS MATERIALIZED (SELECT seq, count(*) AS n FROM s GROUP BY seq),
 shared AS (SELECT a.seq AS seq_a, b.seq AS seq_b, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.seq < b.seq GROUP BY ALL)
 SELECT seq_a, seq_b FROM shared JOIN n x ON x.seq = seq_a JOIN n y ON y.seq = seq_b WHERE c >= 0.6e0 * (x.n + y.n - c) - 1e-9"""
 
+_GROUPS = f"""{_PAIRS.replace("WITH r", "WITH RECURSIVE r", 1).rsplit("SELECT seq_a, seq_b", 1)[0]}, pairs AS MATERIALIZED (SELECT seq_a, seq_b {_PAIRS.rsplit("SELECT seq_a, seq_b", 1)[1]}),
+both_ways AS MATERIALIZED (SELECT seq_a AS v, seq_b AS w FROM pairs UNION ALL SELECT seq_b, seq_a FROM pairs),
+reached AS (SELECT v, v AS w FROM both_ways UNION SELECT reached.v, b.w FROM reached JOIN both_ways b ON b.v = reached.w),
+same AS MATERIALIZED (SELECT seq, md5(array_to_string(w, ' ')) AS words FROM r),
+linked AS (SELECT b.v AS seq, count(DISTINCT y.words) FILTER (WHERE x.words <> y.words) AS links FROM both_ways b JOIN same x ON x.seq = b.v JOIN same y ON y.seq = b.w GROUP BY b.v)
+SELECT linked.seq, g.group_id, linked.links FROM linked JOIN (SELECT v AS seq, min(w) AS group_id FROM reached GROUP BY v) g USING (seq)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _PAIRS,
+        "p4_groups": _GROUPS,
         "p7_terms": f"{_TERMS} SELECT term, occurrences, documents, term_mark FROM marked",
         "p7_found": f"{_TERMS} SELECT term, term_mark FROM marked WHERE term_mark IS NOT NULL",
         "p8_found": _LEAKS,

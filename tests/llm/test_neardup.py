@@ -79,3 +79,16 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "id long, body string")
     assert neardup.near_duplicate_pairs(empty, id_col="id", text_col="body", n=3, threshold=0.6, min_words=50).count() == 0
     assert neardup.near_duplicate_groups(empty, id_col="id", text_col="body").count() == 0
+
+
+def test_hot_columns_are_told_from_full_counters():
+    """A counter that is as full as all others doesn't cut its n-grams into blocks; one that is much fuller does."""
+    import numpy as np
+
+    for load in (0.3, 37, 3650, 36_500):
+        ordinary = np.random.default_rng(1).poisson(load, 10_000)
+        copies = 1 + neardup._entries(neardup._levels(ordinary).astype(np.int64), load) // neardup.CELL_ROWS
+        assert copies.mean() == 1
+        hot = neardup._entries(neardup._levels(np.array([load + 500_000])).astype(np.int64), load)
+        assert abs(hot[0] - 500_000) < 0.1 * (500_000 + load)
+    assert (neardup._levels(np.array([0, 1, 2, 2**31])) == [0, 8, 13, 248]).all()
