@@ -28,6 +28,15 @@ same AS MATERIALIZED (SELECT seq, md5(array_to_string(w, ' ')) AS words FROM r),
 linked AS (SELECT b.v AS seq, count(DISTINCT y.words) FILTER (WHERE x.words <> y.words) AS links FROM both_ways b JOIN same x ON x.seq = b.v JOIN same y ON y.seq = b.w GROUP BY b.v)
 SELECT linked.seq, g.group_id, linked.links FROM linked JOIN (SELECT v AS seq, min(w) AS group_id FROM reached GROUP BY v) g USING (seq)"""
 
+_NAME = r"regexp_replace(lower(trim(source)), '[^\p{L}\p{N}]+', '_', 'g')"
+_MIXTURE = f"""WITH w AS (SELECT {_NAME} AS src, sum(target_share) AS t, max(max_repeats) AS r FROM source_targets WHERE source IS NOT NULL AND target_share > 0 AND max_repeats > 0 GROUP BY 1),
+d AS (SELECT doc_id, {_NAME} AS src, length(text) AS size, ('0x' || substr(md5('7:' || doc_id), 1, 10))::BIGINT AS u FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND length(text) > 0),
+run AS (SELECT d.*, t, r, sum(size) OVER (PARTITION BY src) AS whole, sum(size) OVER (PARTITION BY src ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) AS place FROM d JOIN w USING (src)),
+budget AS (SELECT min(f * r / t) * sum(t) AS b FROM (SELECT DISTINCT src, whole AS f, t, r FROM run)),
+timed AS (SELECT doc_id, src, copy, size, ((copy - 1) * whole + place) / t AS finish FROM (SELECT *, unnest(range(1, r + 1)) AS copy FROM run)),
+total AS (SELECT *, sum(size) OVER (ORDER BY finish, src, copy, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM timed)
+SELECT doc_id, src AS source, copy::INT AS copy, size AS n_chars, round(finish, 3) AS finish FROM total WHERE total <= (SELECT b FROM budget)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -36,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
         "p7_terms": f"{_TERMS} SELECT term, occurrences, documents, term_mark FROM marked",
         "p7_found": f"{_TERMS} SELECT term, term_mark FROM marked WHERE term_mark IS NOT NULL",
         "p8_found": _LEAKS,
+        "p9_by_characters": _MIXTURE,
     }

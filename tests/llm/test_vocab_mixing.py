@@ -58,7 +58,7 @@ def test_mixing_equals_simulation(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long").withColumn("bucket", F.lit("clash")).withColumn("u", F.lit(1))
     targets = spark.createDataFrame([("a_b", 0.5, 2), ("c", 0.3, 4), ("d", 0.15, 1), ("none", 0.05, 9), ("zz", None, 3)], "source string, target_share double, max_repeats int")
     chosen, shares = mixing.mix_sources(df, targets, budget=4000)
-    order = [r.doc_id for r in df.where("doc_id is not null").orderBy(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 40)), "doc_id").collect()]
+    order = [r.doc_id for r in df.where("doc_id is not null").orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))).substr(1, 10), "doc_id").collect()]
     size = {d[0]: d for d in docs}
     plain = [(i, mixing_name(size[i][1]), size[i][2]) for i in order if size[i][1] and size[i][2]]
     wanted = simulate(plain, {"a_b": (0.5, 2), "c": (0.3, 4), "d": (0.15, 1)}, 4000)
@@ -85,3 +85,18 @@ def test_default_budget_meets_the_shares(spark, sf):
 def test_token_counts_round_trip(spark):
     df = spark.createDataFrame([("",), (None,), ("Hello world",), ("дом " * 50,)], "t string")
     assert [r.n_tokens for r in mixing.with_token_counts(df, "t").collect()][:3] == [0, 0, 2]
+
+
+def test_a_source_of_tiny_share(spark):
+    """Its finish times lie far beyond all others; they neither stretch the ranges nor enter the mixture."""
+    docs = [(i, "big" if i % 3 else "tiny", 10) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("big", 0.999999, 5), ("tiny", 0.000001, 1000)], "source string, target_share double, max_repeats int")
+    chosen, shares = mixing.mix_sources(df, targets, budget=20_000)
+    assert chosen.where("source = 'big'").count() == 2000 and chosen.where("source = 'tiny'").count() == 0
+    assert {r.source: r.documents for r in shares.collect()} == {"big": 2000, "tiny": 0}
+
+
+def test_finish_of_the_budget():
+    assert mixing._finish_of([(0.5, 10.0), (0.5, 1000.0)], 20) == 20 and mixing._finish_of([(0.5, 10.0), (0.5, 1000.0)], 30) == 40
+    assert mixing._finish_of([(0.5, 10.0)], 99) == 20 and mixing._finish_of([], 5) == 0
