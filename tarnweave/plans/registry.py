@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +19,7 @@ from tarnweave.operators import index as I
 from tarnweave.operators import search as S
 from tarnweave.operators import tables as TB
 from tarnweave.operators.ordering import first_per_key, last_per_key
-from tarnweave.operators.orphans import newest_rows, orphan_report, page_references, reference_states
+from tarnweave.operators.orphans import MATCHES, newest_rows, orphan_references, orphan_report, page_references, reference_states
 from tarnweave.session import checkpoint_dir, table
 from tarnweave.sources import io
 from tarnweave.streaming import queue as Q
@@ -365,13 +366,22 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return orphan_report(p5_found(spark, sf))
 
 
+def p5_composite(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose (final_url, content_hash) no page with that content has, under each declared match."""
+    refs = _records(spark, sf).select("seq", F.col("final_url").alias("url"), "content_hash")
+    contents = table(spark, sf, "page_contents").select(F.col("page_id").alias("id"), "content_hash")
+    parents = table(spark, sf, "pages").select("id", "url").distinct().join(contents, "id").select("url", "content_hash").distinct()
+    each = [orphan_references(refs, parents, ["url", "content_hash"], m).select(F.lit(m).alias("declared_match"), "seq", "url", "content_hash") for m in MATCHES]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
 NAMES = """
 tokenize_documents term_frequencies document_stats document_frequency avg_doc_len index_health index_documents bm25_topk tfidf_topk
 search_traditional search_repeated_terms search_many search_snippets search_stored_index legacy_postings legacy_terms legacy_document_stats
 legacy_search legacy_result_lines content_hash content_dedup page_title page_text page_text_legacy page_links page_anchors page_assets is_html
 js_required classify_pages outcome_summary penalize host_suppression frontier_bfs frontier_budget url_dedup record_upsert url_status
 page_status_merge page_ids link_insert_ignore content_upsert pagerank_current pagerank_legacy crawl_counts expire_records records_roundtrip
-record_table_decode index_roundtrip stream_dedup stream_suppression stream_dead_letters stream_upsert p5_found p5_report
+record_table_decode index_roundtrip stream_dedup stream_suppression stream_dead_letters stream_upsert p5_found p5_report p5_composite
 """.split()
 
 

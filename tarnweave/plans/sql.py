@@ -163,6 +163,13 @@ def _base() -> dict[str, str]:
         "stream_dead_letters": "SELECT 'broken ' || event_id AS value FROM events WHERE event_type = 'error'",
         "stream_upsert": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY user_id",
         "p5_found": f"{_P5} SELECT * FROM found",
+        "p5_composite": """WITH refs AS (SELECT seq, final_url AS url, content_hash FROM crawl_records),
+parents AS MATERIALIZED (SELECT DISTINCT p.url, c.content_hash FROM (SELECT DISTINCT id, url FROM pages) p JOIN page_contents c ON c.page_id = p.id),
+checked AS (SELECT *, url IS NOT NULL AND content_hash IS NOT NULL AS whole, url IS NOT NULL OR content_hash IS NOT NULL AS given,
+ EXISTS (FROM parents p WHERE (p.url = r.url OR r.url IS NULL) AND (p.content_hash = r.content_hash OR r.content_hash IS NULL)) AS matched FROM refs r)
+SELECT 'simple' AS declared_match, seq, url, content_hash FROM checked WHERE whole AND NOT matched
+UNION ALL SELECT 'partial', seq, url, content_hash FROM checked WHERE given AND NOT matched
+UNION ALL SELECT 'full', seq, url, content_hash FROM checked WHERE given AND NOT (whole AND matched)""",
         "p5_report": f"{_P5} SELECT ref_field, ref_month, ref_state, count(*) AS orphan_refs, count(DISTINCT missing_key) AS orphan_keys FROM found GROUP BY ALL",
     }
 

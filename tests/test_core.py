@@ -181,14 +181,20 @@ def test_orphan_matching(spark):
     assert key(orphans.orphan_keys(refs, parents.limit(0), ["k", "l"])) == [(1, "a"), (1, "b")]
     with pytest.raises(ValueError):
         orphans.orphan_keys(refs, parents, ["k"], "some")
+    rows = sorted(((r.k, r.l, r.extra) for r in orphans.orphan_references(refs.union(refs), parents, ["k", "l"], "partial").collect()), key=str)
+    assert rows == [(1, "b", "x")] * 2 + [(None, "c", "x")] * 2
+    many = spark.range(5000).select((F.col("id") % 7).alias("k"), F.lit("a").alias("l"), F.col("id").cast("string").alias("extra"))
+    assert orphans.orphan_references(many, parents, ["k", "l"]).count() == sum(i % 7 not in (1, 2) for i in range(5000))
 
 
 def test_reference_states_with_a_hot_key(spark):
     at = "timestamp'2025-02-03'"
     pages = spark.sql(f"SELECT * FROM VALUES (1L,'u1','fetched',{at}), (2L,'u2','deleted',{at}), (2L,'u2','fetched',null), (3L,'u3','fetched',timestamp'2025-01-01'), (3L,'u3','deleted',null) AS t(id, url, status, fetched_at)")
     late = spark.sql("SELECT 9L AS id, 'u9' AS url, 'queued' AS status")
-    refs = spark.sql("""SELECT 'links.to_page_id' AS ref_field, id AS holder_id, '2' AS missing_key, '2025-01' AS ref_month FROM range(1000)
+    named = spark.sql("""SELECT 'links.to_page_id' AS ref_field, id AS holder_id, '2' AS missing_key, '2025-01' AS ref_month FROM range(1000)
       UNION ALL SELECT * FROM VALUES ('links.to_page_id', 5L, '1', '2025-01'), ('links.to_page_id', 5L, '3', '2025-01'), ('links.to_page_id', 5L, '9', '2025-02'), ('links.from_page_id', 5L, '77', '2025-02'), ('crawl_records.links', 8L, 'u9', null), ('crawl_records.links', 8L, 'u1', '2025-01'), ('crawl_records.links', 8L, 'nope', '2025-01'), ('links.to_page_id', 5L, null, '2025-02'), ('links.from_page_id', 5L, '77', '2025-02')""")
+    by_url = F.col("ref_field") == "crawl_records.links"
+    refs = named.select("ref_field", "holder_id", F.when(~by_url, F.col("missing_key")).cast("bigint").alias("page_id"), F.when(by_url, F.col("missing_key")).alias("page_url"), "ref_month")
     got = sorted((r.ref_field, r.missing_key, r.ref_state) for r in orphans.reference_states(refs, pages, late).where("missing_key <> '2'").collect())
     assert got == [("crawl_records.links", "nope", "missing"), ("crawl_records.links", "u9", "late"), ("links.from_page_id", "77", "missing"), ("links.to_page_id", "9", "late")]
     assert orphans.reference_states(refs, pages, late).where("missing_key = '2' and ref_state = 'deleted'").count() == 1000
