@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tarnweave.functions.text import STOP_WORDS
+from tarnweave.plans.page_sql import page_sql
 from tarnweave.plans.registry import LEGACY_STOP, QUERY, REPEATED
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -104,7 +105,7 @@ _KIND = "CASE WHEN event_type = 'error' THEN 'page_failed' WHEN value > 10 THEN
 
 def _base() -> dict[str, str]:
     found = f"WITH {_INDEX}, {_scored(_one(QUERY))}"
-    return {
+    return page_sql(_NEWEST_PAGES, _RANKED, _scored(_one(QUERY), "pr"), QUERY.split()) | {
         "tokenize_documents": f"SELECT doc_id, array_to_string({_tokens('text')}, ' ') AS tokens, len({_tokens('text')})::BIGINT AS n_tokens FROM documents",
         "term_frequencies": f"WITH {_DOCS}, {_POSTINGS} SELECT id AS doc_id, term, tf FROM postings",
         "document_stats": f"WITH {_DOCS} SELECT id AS doc_id, len(tokens)::BIGINT AS token_count, len(list_distinct(tokens))::BIGINT AS unique_terms FROM docs",
