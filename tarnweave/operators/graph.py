@@ -28,7 +28,7 @@ from tarnweave.session import cut
 CHECKPOINT_EVERY = 7
 #: A source with more than this share of all edges is hot (there are at most 1/HOT_SHARE); its edges are cut into so many parts.
 HOT_SHARE, PARTS = 0.01, 64
-#: Nodes and edges up to which a graph is iterated in one task, where 20 joins would be overhead.
+#: Nodes and edges up to which a graph is iterated in one task by default, where 20 joins would be overhead.
 ONE_TASK_ROWS = 500_000
 
 
@@ -63,18 +63,18 @@ def table_graph(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     return nodes.withColumn("dangling", F.lit(False)), edges
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, iterations: int = 20, dangling_mass: bool = True) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, iterations: int = 20, dangling_mass: bool = True, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """(node, page_rank): ``iterations`` steps from equal ranks, scaled by the number of nodes.
 
     With ``dangling_mass`` the rank of nodes without links is spread over all nodes; without, it
-    leaks. An empty graph gives no rows. Edges from unknown sources carry nothing.
+    leaks. ``one_task_rows`` of 0 iterates graphs of any size by joins. An empty graph gives no rows. Edges from unknown sources carry nothing.
     """
     nodes = nodes.persist()
     edges = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").persist()
     count, links = nodes.count(), edges.count()
     if not count:
         return nodes.select("node", F.lit(1.0).alias("page_rank"))
-    if count + links <= ONE_TASK_ROWS:
+    if count + links <= one_task_rows:
         return _in_one_task(nodes, edges, damping, iterations, dangling_mass)
     # Powers of the damped transition matrix applied to the vector of ones.
     hot = [r.src for r in edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > links * HOT_SHARE).collect()]  # 1/HOT_SHARE at most
@@ -130,9 +130,9 @@ def _in_one_task(nodes: DataFrame, edges: DataFrame, damping: float, iterations:
     return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, f"node {kind}, page_rank double")
 
 
-def page_rank_current(records: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
+def page_rank_current(records: DataFrame, damping: float = 0.85, iterations: int = 20, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     nodes, edges = record_graph(records)
-    return pagerank(nodes, edges, damping=damping, iterations=iterations).withColumnRenamed("node", "url")
+    return pagerank(nodes, edges, damping=damping, iterations=iterations, one_task_rows=one_task_rows).withColumnRenamed("node", "url")
 
 
 def page_rank_legacy(pages: DataFrame, links: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:

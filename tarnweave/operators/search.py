@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,9 +26,10 @@ def _query_terms(queries: DataFrame) -> DataFrame:
 def _scores(index: SearchIndex, queries: DataFrame, small: bool) -> DataFrame:
     wanted = _query_terms(queries).join(index.terms, "term") if not small else index.terms.join(F.broadcast(_query_terms(queries)), "term")
     wanted = F.broadcast(wanted) if small else wanted
-    matches = index.postings.join(wanted, "term")
-    lengths = index.documents.select("id", "token_count", "page_rank")
-    rows = matches.join(lengths, "id").crossJoin(F.broadcast(index.stats))  # stats is one row
+    rows = index.postings.join(wanted, "term")
+    if "token_count" not in index.postings.columns:  # a stored index has lengths and ranks in its postings
+        rows = rows.join(index.documents.select("id", "token_count", "page_rank"), "id")
+    rows = rows.crossJoin(F.broadcast(index.stats))  # stats is one row
     args = (F.col("tf"), F.col("token_count"))
     bm25 = F.col("qtf") * X.bm25(*args, F.col("average_doc_len"), F.col("documents"), F.col("document_frequency"))
     tfidf = F.col("qtf") * X.tfidf(*args, F.col("documents"), F.col("document_frequency"))
@@ -44,8 +47,12 @@ def search(spark: SparkSession, index: SearchIndex, query: str, top_k: int = DEF
     if mode != "traditional":
         raise ValueError(f"unknown search mode: {mode}")
     queries = spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
-    top = _scores(index, queries, True).orderBy(F.desc("score"), "id").limit(max(0, min(top_k, MAX_RESULTS)))
-    rows = index.documents.select("id", "url", "title", "text").join(F.broadcast(top), "id")
+    words = [r.term for r in _query_terms(queries).select("term").collect()]  # those of the query
+    mine = replace(index, postings=index.postings.where(F.col("term").isin(words)), terms=index.terms.where(F.col("term").isin(words)))
+    best = _scores(mine, queries, True).orderBy(F.desc("score"), "id").limit(max(0, min(top_k, MAX_RESULTS))).drop("query_id")
+    found = best.collect()  # MAX_RESULTS rows at most; with their ids a stored index reads few row groups of documents
+    top = spark.createDataFrame(found, best.schema)
+    rows = index.documents.select("id", "url", "title", "text").where(F.col("id").isin([r.id for r in found])).join(F.broadcast(top), "id")
     terms = X.tokenize(F.lit(query))
     shown = X.snippet(F.coalesce("text", F.lit("")), terms) if snippets else F.lit(None).cast("string")
     return rows.select("id", "url", "title", shown.alias("snippet"), "score", "bm25_score", "tfidf_score", "page_rank").orderBy(F.desc("score"), "id")

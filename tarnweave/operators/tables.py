@@ -57,17 +57,18 @@ def page_ids(old: DataFrame | None, urls: DataFrame, order: str) -> DataFrame:
 
 
 def apply_page_events(events: DataFrame) -> DataFrame:
-    """pages(url, status, http_status, content_type, title, error, first_seq) after events(seq, kind, url, to_url, ...).
+    """pages(url, status, http_status, content_type, title, error, first_seq: a number in the order of creation) after events(seq, kind, url, to_url, ...).
 
     A page exists from the first event that queues it, links to it or finds something in it.
     Fetched and failed events change pages that exist, the last one holding: a failure keeps
     what a fetch had set, a fetch clears the error. Events without a url are ignored.
     """
+    # Both pages of a link are made by one event, first the one that links.
     makes = events.where(~F.col("kind").isin("page_fetched", "page_failed"))
-    made = makes.select("url", "seq").unionByName(makes.where("kind = 'link_found'").select(F.col("to_url").alias("url"), "seq")).where("url is not null").groupBy("url").agg(F.min("seq").alias("first_seq"))
+    made = makes.select("url", (F.col("seq") * 2).alias("seq")).unionByName(makes.where("kind = 'link_found'").select(F.col("to_url").alias("url"), (F.col("seq") * 2 + 1).alias("seq"))).where("url is not null").groupBy("url").agg(F.min("seq").alias("first_seq"))
     own = events.where(F.col("kind").isin("page_fetched", "page_failed")).select("url", "seq", "kind", "http_status", "content_type", "title", "error")
     fetched, failed = F.col("kind") == "page_fetched", F.col("kind") == "page_failed"
-    after = F.when(F.col("seq") > F.col("first_seq"), F.col("seq"))
+    after = F.when(F.col("seq") * 2 > F.col("first_seq"), F.col("seq"))
 
     def last(value: Column, when: Column) -> Column:
         return F.max_by(F.struct(value.alias("v")), F.when(when, after))["v"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.functions import html as H
 from tarnweave.functions import text as X
-from tarnweave.functions.url import host
+from tarnweave.functions.url import host, normalize_url
 from tarnweave.operators import classify as C
 from tarnweave.operators import crawl as CR
 from tarnweave.operators import graph as G
@@ -260,11 +260,93 @@ def url_dedup(spark, sf):
 
 
 def record_upsert(spark, sf):
-    r = _records(spark, sf).select(TB.url_hash(F.col("requested_url")).alias("url_hash"), "seq", "outcome", F.coalesce("status", F.lit(-1)).alias("status"))
+    r = _records(spark, sf).select(TB.url_hash(F.col("requested_url")).alias("url_hash"), "seq", "outcome", F.col("status").cast("string").alias("status"))
     old, new = r.where("seq % 2 = 0"), r.where("seq % 2 = 1")
     return TB.upsert(last_per_key(old, ["url_hash"], "seq"), new, ["url_hash"], "seq")
 
 
+def url_dedup_seen(spark, sf):
+    """Queue items of odd seqs that those of even ones haven't seen."""
+    items = _records(spark, sf).select(F.col("requested_url").alias("url"), "source_seed", "seq")
+    seen = TB.enqueue_new(None, items.where("seq % 2 = 0"), "seq")
+    return TB.enqueue_new(seen, items.where("seq % 2 = 1"), "seq").select("url_hash", "url", "source_seed", "seq")
+
+
+def page_ids_known(spark, sf):
+    """Ids go on from those of the even seqs."""
+    urls = _records(spark, sf).select(F.col("requested_url").alias("url"), "seq")
+    return TB.page_ids(TB.page_ids(None, urls.where("seq % 2 = 0"), "seq"), urls.where("seq % 2 = 1"), "seq")
+
+
+def page_insert_ignore(spark, sf):
+    """Late pages are added unless their id is known."""
+    old, late = table(spark, sf, "pages"), table(spark, sf, "pages_late")
+    known = first_per_key(old.select("id", "url"), ["id"], "url")
+    return TB.insert_ignore(known, late.select("id", "url"), ["id"], "url")
+
+
+def legacy_outcomes(spark, sf):
+    return _records(spark, sf).select("seq", C.legacy_outcome(F.col("status"), F.col("content_type")).alias("outcome"))
+
+
+def normalize_urls(spark, sf):
+    """Requested URLs written carelessly, in their normal form again."""
+    parts = F.regexp_extract("requested_url", "^(https?)://([^/?#]+)(.*)$", 1), F.regexp_extract("requested_url", "^(https?)://([^/?#]+)(.*)$", 2), F.regexp_extract("requested_url", "^(https?)://([^/?#]+)(.*)$", 3)
+    port = F.when(parts[0] == "https", ":443").otherwise(":80")
+    careless = F.concat(F.lit(" "), F.upper(parts[0]), F.lit("://"), F.upper(parts[1]), port, F.lit("/./x/.."), F.when(parts[2] == "", "/").otherwise(parts[2]), F.lit("\n"))
+    return _records(spark, sf).select("seq", normalize_url(careless).alias("url"))
+
+
+def fetch_fallback(spark, sf):
+    """Odd pages come from the second snapshot table, what neither has isn't fetched."""
+    snaps = _snapshots(spark, sf).select("page_id", "url", F.lit(None).cast("string").alias("final_url"), "status", "content_type", "html")
+    source = CR.snapshot_source(snaps.where("page_id % 2 = 0"), snaps.where("page_id % 3 <> 0").withColumn("html", F.concat("html", F.lit("<!-- second -->"))))
+    return source(_pages(spark, sf).select("url", F.col("id").alias("page_id"))).select("page_id", F.md5("html").alias("html_md5"), "final_url")
+
+
+def index_json(spark, sf):
+    path = _scratch(spark, "json")
+    io.export_index_json(_doc_index(spark, sf), path)
+    back = spark.read.schema("id long, token_count long, term_freqs map<string, long>").json(path)
+    return back.select(F.col("id").alias("doc_id"), "token_count", F.coalesce(F.size("term_freqs"), F.lit(0)).cast("long").alias("n_terms"), F.coalesce(F.aggregate(F.map_values("term_freqs"), F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0)).alias("occurrences"))
+
+
+def search_read_index(spark, sf):
+    """As search_traditional, over an index that was written and read."""
+    root = _scratch(spark, "index")
+    records = _records(spark, sf)
+    io.write_index(I.build_index(records, G.page_rank_current(records)), root, 1)
+    return S.search(spark, io.read_index(spark, root), QUERY, 20, snippets=False).select("id", "url", "title", _significant("score"), "bm25_score", "tfidf_score", _significant("page_rank"))
+
+
+def _crawl_events(spark, sf):
+    """Crawl events of all six kinds, made of the event table."""
+    e = table(spark, sf, "events")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("page_queued", "page_fetched", "page_failed", "link_found", "page_content_found", "asset_found")]), (F.col("event_id") % 6 + 1).cast("int"))
+    name = lambda prefix, number: F.concat(F.lit(prefix), number.cast("string"))
+    return e.select(
+        F.col("event_id").alias("seq"), kind.alias("kind"), name("u", F.col("user_id")).alias("url"), name("u", (F.col("user_id") * 7 + F.col("event_id")) % 400).alias("to_url"), F.col("event_type").alias("anchor_text"),
+        F.lit(200).alias("http_status"), F.lit("text/html").alias("content_type"), F.col("props").alias("title"), F.col("event_type").alias("error"), F.col("props").alias("html"), F.col("event_type").alias("extracted_text"), F.md5("props").alias("content_hash"),
+        name("a", F.col("event_id") % 20).alias("asset_url"), F.lit("image").alias("asset_type"), F.col("event_type").alias("alt_text"),
+    )
+
+
+def event_pages(spark, sf):
+    return TB.apply_events(_crawl_events(spark, sf))["pages"].select("id", "url", "status", "http_status", "title", "error")
+
+
+def event_links(spark, sf):
+    return TB.apply_events(_crawl_events(spark, sf))["links"]
+
+
+def event_contents(spark, sf):
+    return TB.apply_events(_crawl_events(spark, sf))["page_contents"]
+
+
+def event_assets(spark, sf):
+    return TB.apply_events(_crawl_events(spark, sf))["page_assets"]
+
+
 def url_status(spark, sf):
     urls = _records(spark, sf).select(TB.url_hash(F.col("requested_url")).alias("url_hash")).distinct().withColumn("status", F.lit("queued"))
     return TB.status_update(urls, _records(spark, sf).where("outcome <> 'fetch_failed'").select("requested_url", "outcome", "seq"), "seq")
@@ -299,6 +381,11 @@ def pagerank_legacy(spark, sf):
     return G.page_rank_legacy(table(spark, sf, "pages"), table(spark, sf, "links")).select("page_id", F.round("page_rank", 6).alias("page_rank"))
 
 
+def pagerank_by_joins(spark, sf):
+    """As pagerank_current, on the way that graphs of any size take."""
+    return G.page_rank_current(_records(spark, sf), one_task_rows=0).select("url", _significant("page_rank"))
+
+
 def crawl_counts(spark, sf):
     return CR.crawl_counts(_records(spark, sf))
 
@@ -384,7 +471,8 @@ tokenize_documents term_frequencies document_stats document_frequency avg_doc_le
 search_traditional search_repeated_terms search_many search_snippets search_stored_index legacy_postings legacy_terms legacy_document_stats
 legacy_search legacy_result_lines content_hash content_dedup page_title page_text page_text_legacy page_links page_anchors page_assets is_html
 js_required classify_pages outcome_summary penalize host_suppression frontier_bfs frontier_budget url_dedup record_upsert url_status
-page_status_merge page_ids link_insert_ignore content_upsert pagerank_current pagerank_legacy crawl_counts expire_records records_roundtrip
+page_status_merge page_ids link_insert_ignore content_upsert pagerank_current pagerank_legacy url_dedup_seen page_ids_known page_insert_ignore legacy_outcomes normalize_urls fetch_fallback index_json search_read_index pagerank_by_joins
+event_pages event_links event_contents event_assets crawl_counts expire_records records_roundtrip
 record_table_decode index_roundtrip stream_dedup stream_suppression stream_dead_letters stream_upsert p5_found p5_report p5_composite
 """.split()
 

@@ -131,7 +131,7 @@ def _base() -> dict[str, str]:
         "penalize": f"SELECT seq, {_BAD} AS penalised FROM crawl_records",
         "host_suppression": f"SELECT seq, host, coalesce(sum(bad::INT) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3 AS suppressed FROM (SELECT seq, {_HOST} AS host, {_BAD} AS bad FROM crawl_records)",
         "url_dedup": "SELECT sha256(requested_url) AS url_hash, requested_url AS url, arg_min(source_seed, seq) AS source_seed, min(seq) AS seq FROM crawl_records GROUP BY requested_url",
-        "record_upsert": """WITH r AS (SELECT sha256(requested_url) AS url_hash, seq, outcome, coalesce(status, -1) AS status, seq % 2 AS odd FROM crawl_records)
+        "record_upsert": """WITH r AS (SELECT sha256(requested_url) AS url_hash, seq, outcome, status::VARCHAR AS status, seq % 2 AS odd FROM crawl_records)
           SELECT url_hash, seq, outcome, status FROM (SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY odd DESC, seq DESC) AS k FROM r) WHERE k = 1""",
         "url_status": "SELECT sha256(requested_url) AS url_hash, coalesce(arg_max(outcome, seq) FILTER (outcome <> 'fetch_failed'), 'queued') AS status FROM crawl_records GROUP BY requested_url",
         "page_status_merge": f"""WITH e AS (SELECT event_id AS seq, {_KIND} AS kind, 'u' || user_id AS url, props, event_type FROM events),
@@ -143,6 +143,7 @@ def _base() -> dict[str, str]:
         "link_insert_ignore": "SELECT from_page_id, to_page_id, epoch_us(discovered_at) AS discovered_at, anchor_text FROM (SELECT from_page_id, to_page_id, discovered_at, max(anchor_text) AS anchor_text, row_number() OVER (PARTITION BY from_page_id, to_page_id ORDER BY discovered_at) AS k FROM links GROUP BY from_page_id, to_page_id, discovered_at) WHERE k = 1",
         "content_upsert": "SELECT page_id, epoch_us(stored_at) AS stored_at, content_hash FROM (SELECT page_id, stored_at, max(content_hash) AS content_hash, row_number() OVER (PARTITION BY page_id ORDER BY stored_at DESC) AS k FROM page_contents GROUP BY page_id, stored_at) WHERE k = 1",
         "pagerank_current": f"WITH {_RECORD_GRAPH}, {_iterations(True)} SELECT node AS url, {_SIG.format("r")} AS page_rank FROM r20",
+        "pagerank_by_joins": f"WITH {_RECORD_GRAPH}, {_iterations(True)} SELECT node AS url, {_SIG.format("r")} AS page_rank FROM r20",
         "pagerank_legacy": f"WITH {_TABLE_GRAPH}, {_iterations(False)} SELECT node AS page_id, round(r, 6) AS page_rank FROM r20",
         "legacy_search": f"{_legacy_found('what the harbour and the silent library', 20)} SELECT page_id, url, title, score FROM found",
         "legacy_result_lines": f"{_legacy_found('what the harbour and the silent library', 10)} SELECT rank, rank || '. ' || coalesce(title, 'Untitled') || chr(10) || '   URL: ' || url || chr(10) || '   Score: ' || printf('%.6f', score) || chr(10) AS line FROM (SELECT *, row_number() OVER (ORDER BY score DESC, page_id) AS rank FROM found)",
@@ -163,6 +164,20 @@ def _base() -> dict[str, str]:
         "stream_suppression": "SELECT user_id, event_id, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3 AS suppressed FROM events",
         "stream_dead_letters": "SELECT 'broken ' || event_id AS value FROM events WHERE event_type = 'error'",
         "stream_upsert": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY user_id",
+        "url_dedup_seen": "SELECT sha256(requested_url) AS url_hash, requested_url AS url, arg_min(source_seed, seq) AS source_seed, min(seq) AS seq FROM crawl_records WHERE seq % 2 = 1 AND requested_url NOT IN (SELECT requested_url FROM crawl_records WHERE seq % 2 = 0) GROUP BY requested_url",
+        "page_ids_known": "SELECT row_number() OVER (ORDER BY late, seq) AS id, url FROM (SELECT requested_url AS url, bool_and(seq % 2 = 1) AS late, coalesce(min(seq) FILTER (seq % 2 = 0), min(seq)) AS seq FROM crawl_records GROUP BY requested_url)",
+        "page_insert_ignore": "SELECT id, min(url) AS url FROM pages GROUP BY id UNION ALL SELECT id, min(url) FROM pages_late WHERE id NOT IN (SELECT id FROM pages) GROUP BY id",
+        "legacy_outcomes": "SELECT seq, CASE WHEN NOT coalesce(status BETWEEN 200 AND 299, false) THEN 'failed' WHEN coalesce(content_type, '') LIKE '%text/html%' THEN 'fetched' END AS outcome FROM crawl_records",
+        "normalize_urls": "SELECT seq, CASE WHEN regexp_matches(requested_url, '^https?://[^/]+$') THEN requested_url || '/' ELSE requested_url END AS url FROM crawl_records",
+        "fetch_fallback": f"""WITH {_NEWEST_PAGES}, c AS (SELECT page_id, arg_max(html, stored_at) AS html FROM page_contents WHERE html IS NOT NULL GROUP BY page_id)
+          SELECT n.id AS page_id, CASE WHEN n.id % 2 = 0 THEN md5(html) WHEN n.id % 3 <> 0 THEN md5(html || '<!-- second -->') END AS html_md5, CASE WHEN html IS NOT NULL AND (n.id % 2 = 0 OR n.id % 3 <> 0) THEN url END AS final_url FROM newest_pages n LEFT JOIN c ON page_id = n.id""",
+        "index_json": f"WITH {_DOCS} SELECT id AS doc_id, len(tokens)::BIGINT AS token_count, len(list_distinct(tokens))::BIGINT AS n_terms, len(tokens)::BIGINT AS occurrences FROM docs",
+        "search_read_index": f"WITH {_RANKED}, {_scored(_one(QUERY), 'pr')} SELECT s.id, url, title, {_SIG.format("score")} AS score, bm25_score, tfidf_score, {_SIG.format("page_rank")} AS page_rank FROM scored s JOIN docs ON docs.id = s.id WHERE s.score > 0 ORDER BY s.score DESC, s.id LIMIT 20",
+        "event_pages": f"""{_EVENTS} SELECT id, url, CASE last WHEN 1 THEN 'fetched' WHEN 2 THEN 'failed' ELSE 'queued' END AS status, http_status, title, CASE WHEN last = 2 THEN error END AS error
+          FROM ids LEFT JOIN (SELECT url, arg_max(kind, seq) AS last, max(CASE WHEN kind = 1 THEN 200 END) AS http_status, arg_max(props, seq) FILTER (kind = 1) AS title, arg_max(event_type, seq) AS error FROM own GROUP BY url) USING (url)""",
+        "event_links": f"{_EVENTS} SELECT a.id AS from_page_id, b.id AS to_page_id, anchor_text FROM (SELECT url, to_url, arg_min(event_type, seq) AS anchor_text FROM e WHERE kind = 3 GROUP BY url, to_url) l JOIN ids a ON a.url = l.url JOIN ids b ON b.url = l.to_url",
+        "event_contents": f"{_EVENTS} SELECT id AS page_id, html, extracted_text, md5(html) AS content_hash FROM (SELECT url, arg_max(props, seq) AS html, arg_max(event_type, seq) AS extracted_text FROM e WHERE kind = 4 GROUP BY url) JOIN ids USING (url)",
+        "event_assets": f"{_EVENTS} SELECT id AS page_id, asset_url, 'image' AS asset_type, alt_text FROM (SELECT url, asset_url, arg_max(event_type, seq) AS alt_text FROM e WHERE kind = 5 GROUP BY url, asset_url) JOIN ids USING (url)",
         "p5_found": f"{_P5} SELECT * FROM found",
         "p5_composite": """WITH refs AS (SELECT seq, final_url AS url, content_hash FROM crawl_records),
 parents AS MATERIALIZED (SELECT DISTINCT p.url, c.content_hash FROM (SELECT DISTINCT id, url FROM pages) p JOIN page_contents c ON c.page_id = p.id),
@@ -175,5 +190,11 @@ UNION ALL SELECT 'full', seq, url, content_hash FROM checked WHERE given AND NOT
     }
 
 
+_EVENTS = """WITH e AS MATERIALIZED (SELECT event_id AS seq, event_id % 6 AS kind, 'u' || user_id AS url, 'u' || ((user_id * 7 + event_id) % 400) AS to_url, 'a' || (event_id % 20) AS asset_url, event_type, props FROM events),
+made AS MATERIALIZED (SELECT url, min(place) AS first FROM (SELECT url, seq * 2 AS place FROM e WHERE kind NOT IN (1, 2) UNION ALL SELECT to_url, seq * 2 + 1 FROM e WHERE kind = 3) GROUP BY url),
+ids AS MATERIALIZED (SELECT url, first, row_number() OVER (ORDER BY first) AS id FROM made),
+own AS (SELECT e.* FROM e JOIN made USING (url) WHERE kind IN (1, 2) AND seq * 2 > first)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return _base()

@@ -56,30 +56,52 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    fs, p = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, replaced in one step: written beside, then renamed over the one before."""
+    fs, final = _fs(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    beside = hadoop.Path(final.getParent(), f".{final.getName()}.next")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = getattr(hadoop, "Options$Rename")
+    overwrite = spark.sparkContext._gateway.new_array(rename, 1)
+    overwrite[0] = rename.OVERWRITE
+    at = fs.makeQualified(final)
+    hadoop.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), at, overwrite)
+
+
 _PARTS = ("documents", "postings", "terms", "stats")
 
 
 def write_index(index: SearchIndex, root: str, version: int) -> str:
     """Writes the tables under versions/<version>, then points ``active`` at them.
 
-    Postings are sorted by term inside their files, so that a search reads few row groups. The
-    pointer is a small file that is replaced last: a reader sees the old version or the new one.
+    Postings carry the length and rank of their document and are sorted by term, documents by id, so that a search
+    reads few row groups of either. The pointer is a small file that is replaced last, in one
+    step: a reader sees the old version or the new one.
     """
     at = f"{root}/versions/{version}"
     for name in _PARTS:
         df = getattr(index, name)
         if name == "postings":
-            df = df.repartitionByRange("term").sortWithinPartitions("term", "id")
+            df = df.join(index.documents.select("id", "token_count", "page_rank"), "id").select("term", "id", "tf", "token_count", "page_rank")
+            df = df.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+        elif name == "documents":
+            df = df.repartitionByRange("id").sortWithinPartitions("id")
         df.write.mode("errorifexists").parquet(f"{at}/{name}")
-    spark = index.documents.sparkSession
-    fs, p = _fs(spark, f"{root}/active.json.next")
-    out = fs.create(p, True)
-    out.write(bytearray(json.dumps({"version": version}).encode()))
-    out.close()
-    final = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/active.json")
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(p, final)
+    write_file(index.documents.sparkSession, f"{root}/active.json", json.dumps({"version": version}))
     return at
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tarnweave.operators.ordering import last_per_key
 from tarnweave.operators.tables import upsert
 from tarnweave.schemas import QUEUE_ITEM
-from tarnweave.sources.io import exists
+from tarnweave.sources.io import names_in, remove, write_file
 
 
 def read_messages(spark: SparkSession, path: str, max_files: int = 16) -> DataFrame:
@@ -67,11 +69,18 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+#: Parts of a table that is kept by upserts; a batch rewrites those that its keys fall into.
+BUCKETS = 64
+
+
 class UpsertSink:
-    """foreachBatch sink that keeps the newest row per key in versions of a table.
+    """foreachBatch sink that keeps the newest row per key in a table of BUCKETS parts.
 
-    A batch writes version ``batch_id`` from the version before; a repeated batch writes the
-    same version again, so at-least-once delivery gives exactly one result.
+    A batch reads and writes only the parts that its keys fall into, as files of version
+    ``batch_id``, and then a manifest that says in which version each part is. It starts from
+    the newest manifest before its own, so a repeated batch does the same again and
+    at-least-once delivery gives exactly one result. Versions without any part in the last two
+    manifests are deleted.
     """
 
     def __init__(self, root: str, keys: list[str], order: str):
@@ -79,18 +88,41 @@ class UpsertSink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = None
-        for v in range(batch_id - 1, -1, -1):
-            if exists(spark, f"{self.root}/v={v}/_SUCCESS"):
-                old = spark.read.parquet(f"{self.root}/v={v}")
-                break
-        upsert(old, batch, self.keys, self.order).write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
+        fresh = last_per_key(batch, self.keys, self.order).withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).cast("int")).persist()
+        touched = sorted(r._bucket for r in fresh.select("_bucket").distinct().collect())  # BUCKETS at most
+        before = [v for v in self._versions(spark) if v < batch_id]
+        placed = self._manifest(spark, before[-1]) if before else {}
+        old = self._read(spark, {b: placed[b] for b in touched if b in placed})
+        merged = upsert(old, fresh.drop("_bucket"), self.keys, self.order) if old is not None else fresh.drop("_bucket")
+        merged = merged.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).cast("int"))
+        if touched:
+            merged.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/v={batch_id}")
+        fresh.unpersist()
+        now = placed | dict.fromkeys(touched, batch_id)
+        write_file(spark, f"{self.root}/manifest/{batch_id}.json", json.dumps(now))
+        kept = set(now.values()) | set(placed.values()) | {batch_id}
+        for v in before:
+            if v not in kept:
+                remove(spark, f"{self.root}/v={v}")
+
+    def _versions(self, spark: SparkSession) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in names_in(spark, f"{self.root}/manifest") if n.endswith(".json"))
+
+    def _manifest(self, spark: SparkSession, version: int) -> dict[int, int]:
+        text = "".join(r.value for r in spark.read.text(f"{self.root}/manifest/{version}.json").collect())  # one line
+        return {int(b): v for b, v in json.loads(text).items()}
+
+    def _read(self, spark: SparkSession, placed: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.root}/v={v}/_bucket={b}" for b, v in sorted(placed.items())]
+        return spark.read.parquet(*paths) if paths else None
 
     def latest(self, spark: SparkSession) -> DataFrame:
-        v = 0
-        while exists(spark, f"{self.root}/v={v + 1}/_SUCCESS"):
-            v += 1
-        return spark.read.parquet(f"{self.root}/v={v}")
+        """The table after the last whole batch."""
+        versions = self._versions(spark)
+        found = self._read(spark, self._manifest(spark, versions[-1])) if versions else None
+        if found is None:
+            raise ValueError(f"nothing was ever written to {self.root}")
+        return found
 
 
 def consume(stream: DataFrame, sink: UpsertSink, checkpoint: str) -> None:

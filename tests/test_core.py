@@ -131,6 +131,11 @@ def test_events(spark):
     assert pages == {"u": (1, "failed", 200, "boom"), "v": (2, "queued", None, None)}
     assert [(r.from_page_id, r.to_page_id) for r in got["links"].collect()] == [(1, 2)]
     assert got["page_assets"].count() == 0 and got["page_contents"].count() == 0
+    assets = spark.createDataFrame([(1, "asset_found", "u", "a.png", "image", "old"), (2, "asset_found", "u", "a.png", "image", "new"), (3, "asset_found", "v", "a.png", "image", None)], "seq long, kind string, url string, asset_url string, asset_type string, alt_text string")
+    for c in ("to_url", "error", "content_type", "title", "anchor_text", "html", "extracted_text", "content_hash"):
+        assets = assets.withColumn(c, F.lit(None).cast("string"))
+    found = tables.apply_events(assets.withColumn("http_status", F.lit(None).cast("int")))["page_assets"].collect()
+    assert sorted((r.page_id, r.asset_url, r.alt_text or "") for r in found) == [(1, "a.png", "new"), (2, "a.png", "")]
 
 
 def model_crawl(pages, seeds, max_pages, max_depth, threshold):

@@ -26,3 +26,18 @@ def test_state_over_batches(spark, tmp_path):
     got = {r.seq: r.suppressed for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: False, 2: False, 3: False, 4: True, 5: False}
     assert {r.k: r.seq for r in sink.latest(spark).collect()} == {"a": 4, "b": 5}
+
+
+def test_upserts_rewrite_the_parts_they_touch(spark, tmp_path):
+    sink = Q.UpsertSink(str(tmp_path / "t"), ["k"], "seq")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, seq long")
+    first = [(f"k{i}", i) for i in range(300)]
+    sink(rows(*first), 0)
+    sink(rows(("k5", 1000), ("k6", 1)), 1)
+    sink(rows(("k5", 1000), ("k6", 1)), 1)  # the same batch again
+    sink(rows(("k7", 2000)), 5)
+    want = dict(first) | {"k5": 1000, "k6": 1, "k7": 2000}
+    assert {r.k: r.seq for r in sink.latest(spark).collect()} == want
+    assert len(list((tmp_path / "t" / "v=1").glob("_bucket=*"))) <= 2 and len(list((tmp_path / "t" / "v=5").glob("_bucket=*"))) == 1
+    sink(spark.createDataFrame([], "k string, seq long"), 6)
+    assert sink.latest(spark).count() == 300
