@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.functions.text import raw_words, tokenize, trim_unicode
 from tarnweave.operators.ordering import dense_ids, first_per_key
+from tarnweave.session import cut
 
 
 @dataclass
@@ -54,6 +55,7 @@ def build_index(records: DataFrame, ranks: DataFrame | None = None) -> SearchInd
     """Index of crawl records(seq, ...): ids count from 0 in the order of seq; a URL without a rank has 1."""
     chosen = indexable(records).select("seq", F.col("final_url").alias("url"), "title", F.col("extracted_text").alias("text"))
     numbered = dense_ids(chosen, "seq").drop("seq").withColumn("tokens", tokenize(F.col("text"))).withColumn("token_count", F.size("tokens").cast("long"))
+    numbered = cut(numbered)  # documents, postings and statistics all come of it
     postings = postings_of(numbered)  # without the ranks, which they don't need
     if ranks is None:
         ranked = numbered.withColumn("page_rank", F.lit(1.0))

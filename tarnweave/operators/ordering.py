@@ -11,13 +11,15 @@ BUCKET_ROWS = 100_000
 def dense_ids(df: DataFrame, order: str, name: str = "id", start: int = 0) -> DataFrame:
     """Numbers the rows by a whole-number column: ``start``, ``start``+1, ... in its order.
 
-    The range of the column is cut into buckets of about BUCKET_ROWS rows; rows are numbered
-    inside their bucket, and a table of one row per bucket holds the offsets. Ties are broken
+    The range of the column is cut into buckets of about BUCKET_ROWS rows, fewer if that leaves
+    partitions of the shuffle without any; rows are numbered inside their bucket, and a table of one row per bucket holds the offsets. Ties are broken
     by the rows' other columns' hash, null orders come last in a bucket of their own.
     """
     stats = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
     low, high = stats.low or 0, stats.high or 0
-    width = max(1, (high - low + 1) * BUCKET_ROWS // max(1, stats.n))
+    wide = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = min(BUCKET_ROWS, stats.n // (4 * wide) + 1)
+    width = max(1, (high - low + 1) * rows // max(1, stats.n))
     bucket = F.coalesce(F.floor((F.col(order) - F.lit(low)) / F.lit(width)), F.lit(2**60)).cast("long")
     placed = df.withColumn("_bucket", bucket)
     counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
