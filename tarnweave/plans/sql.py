@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tarnweave.functions.text import STOP_WORDS
 from tarnweave.plans.page_sql import page_sql
-from tarnweave.plans.registry import LEGACY_STOP, QUERY, REPEATED
+from tarnweave.plans.registry import LEGACY_TERMS, QUERY, REPEATED
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 WORDS = r"string_split_regex(lower(regexp_replace({}, '[^\p{{L}}\p{{N}}\s]', '', 'g')), '\s+')"
@@ -77,8 +77,8 @@ _NEWEST_PAGES = """newest_pages AS MATERIALIZED (SELECT * FROM (SELECT *, row_nu
 _LEGACY_WORDS = f"list_filter({RAW.format('text')}, lambda w: w <> '')"
 
 
-def _legacy_found(query: str, k: int) -> str:
-    words = ", ".join(f"'{w}'" for w in dict.fromkeys(query.split()) if w not in LEGACY_STOP)
+def _legacy_found(k: int) -> str:
+    words = ", ".join(f"'{w}'" for w in LEGACY_TERMS)
     return f"""WITH {_LEGACY_TEXTS}, {_LEGACY_POSTINGS}, {_NEWEST_PAGES}, {_TABLE_GRAPH}, {_iterations(False)},
     st AS (SELECT page_id, len({_LEGACY_WORDS}) AS wc FROM texts),
     df AS (SELECT term, count(*) AS df FROM lp GROUP BY term),
@@ -145,8 +145,8 @@ def _base() -> dict[str, str]:
         "pagerank_current": f"WITH {_RECORD_GRAPH}, {_iterations(True)} SELECT node AS url, {_SIG.format("r")} AS page_rank FROM r20",
         "pagerank_by_joins": f"WITH {_RECORD_GRAPH}, {_iterations(True)} SELECT node AS url, {_SIG.format("r")} AS page_rank FROM r20",
         "pagerank_legacy": f"WITH {_TABLE_GRAPH}, {_iterations(False)} SELECT node AS page_id, round(r, 6) AS page_rank FROM r20",
-        "legacy_search": f"{_legacy_found('what the harbour and the silent library', 20)} SELECT page_id, url, title, score FROM found",
-        "legacy_result_lines": f"{_legacy_found('what the harbour and the silent library', 10)} SELECT rank, rank || '. ' || coalesce(title, 'Untitled') || chr(10) || '   URL: ' || url || chr(10) || '   Score: ' || printf('%.6f', score) || chr(10) AS line FROM (SELECT *, row_number() OVER (ORDER BY score DESC, page_id) AS rank FROM found)",
+        "legacy_search": f"{_legacy_found(20)} SELECT page_id, url, title, score FROM found",
+        "legacy_result_lines": f"{_legacy_found(10)} SELECT rank, rank || '. ' || coalesce(title, 'Untitled') || chr(10) || '   URL: ' || url || chr(10) || '   Score: ' || printf('%.6f', score) || chr(10) AS line FROM (SELECT *, row_number() OVER (ORDER BY score DESC, page_id) AS rank FROM found)",
         "crawl_counts": "SELECT count(*) AS written, count(*) FILTER (outcome = 'stored') AS stored, max(depth) AS deepest FROM crawl_records",
         "expire_records": "SELECT seq FROM crawl_records WHERE fetched_at_ms >= (SELECT max(fetched_at_ms) FROM crawl_records) - 7 * 86400000",
         "records_roundtrip": "SELECT requested_url, final_url, depth, outcome, skip_reason, coalesce(schema_version, 2)::INTEGER AS schema_version, fetched_at_ms, len(links)::BIGINT AS n_links, md5(extracted_text) AS text_md5 FROM crawl_records",
