@@ -136,12 +136,21 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf)[1]
 
 
-def p9_by_characters(spark: SparkSession, sf: str) -> DataFrame:
-    """The same mixture with sizes in characters."""
+def _mixture_by_characters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     from tarnweave.llm.mixing import mix_sources
 
     sized = table(spark, sf, "documents").select("doc_id", "source", F.char_length("text").alias("n_tokens"))
-    return mix_sources(sized, table(spark, sf, "source_targets"))[0].select("doc_id", "source", "copy", F.col("size").alias("n_chars"), F.round("finish", 3).alias("finish"))
+    return mix_sources(sized, table(spark, sf, "source_targets"))
+
+
+def p9_shares_by_characters(spark: SparkSession, sf: str) -> DataFrame:
+    shares = _mixture_by_characters(spark, sf)[1]
+    return shares.select("source", F.round("target_share", 6).alias("target_share"), F.round("goal_share", 6).alias("goal_share"), F.col("tokens").alias("n_chars"), F.round("share", 6).alias("share"), "documents", "uses")
+
+
+def p9_by_characters(spark: SparkSession, sf: str) -> DataFrame:
+    """The same mixture with sizes in characters."""
+    return _mixture_by_characters(spark, sf)[0].select("doc_id", "source", "copy", F.col("size").alias("n_chars"), F.round("finish", 3).alias("finish"))
 
 
 def _endings(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,7 +170,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation_rates(_endings(spark, sf), F.coalesce(source_name(F.col("source")), F.lit("(none)")))
 
 
-NAMES = ["p6_blocks", "p6_found", "p6_flat", "p1_scores", "p1_found", "p1_templates", "p2_scores", "p2_found", "p3_found", "p3_segments", "p3_languages", "p4_found", "p4_groups", "p7_terms", "p7_found", "p8_leaks", "p8_found", "p9_mixture", "p9_shares", "p9_by_characters", "p10_found", "p10_rates"]
+NAMES = ["p6_blocks", "p6_found", "p6_flat", "p1_scores", "p1_found", "p1_templates", "p2_scores", "p2_found", "p3_found", "p3_segments", "p3_languages", "p4_found", "p4_groups", "p7_terms", "p7_found", "p8_leaks", "p8_found", "p9_mixture", "p9_shares", "p9_by_characters", "p9_shares_by_characters", "p10_found", "p10_rates"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,6 +37,12 @@ timed AS (SELECT doc_id, src, copy, size, ((copy - 1) * whole + place) / t AS fi
 total AS (SELECT *, sum(size) OVER (ORDER BY finish, src, copy, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM timed)
 SELECT doc_id, src AS source, copy::INT AS copy, size AS n_chars, round(finish, 3) AS finish FROM total WHERE total <= (SELECT b FROM budget)"""
 
+_CHOSEN = "SELECT doc_id, src AS source, copy::INT AS copy, size AS n_chars, round(finish, 3) AS finish FROM total WHERE total <= (SELECT b FROM budget)"
+_SHARES = f"""{_MIXTURE.replace(_CHOSEN, "").rstrip()}, chosen AS (SELECT * FROM total WHERE total <= (SELECT b FROM budget)),
+per AS (SELECT src, sum(size) AS n, count(DISTINCT doc_id) AS docs, count(*) AS uses FROM chosen GROUP BY src), have AS (SELECT DISTINCT src FROM run)
+SELECT w.src AS source, round(t, 6) AS target_share, round(CASE WHEN h.src IS NULL THEN 0 ELSE t END / sum(CASE WHEN h.src IS NOT NULL THEN t END) OVER (), 6) AS goal_share,
+ coalesce(n, 0)::BIGINT AS n_chars, round(coalesce(n, 0) / sum(n) OVER (), 6) AS share, coalesce(docs, 0) AS documents, coalesce(uses, 0) AS uses FROM w LEFT JOIN have h USING (src) LEFT JOIN per USING (src)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -46,4 +52,5 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": f"{_TERMS} SELECT term, term_mark FROM marked WHERE term_mark IS NOT NULL",
         "p8_found": _LEAKS,
         "p9_by_characters": _MIXTURE,
+        "p9_shares_by_characters": _SHARES,
     }
