@@ -22,7 +22,10 @@ def bounded_sample(rows: DataFrame, text_col: str, size: int, total: int | None
 def spread(rows: DataFrame) -> DataFrame:
     """The rows over all cores, where the files give fewer parts than there are cores.
 
-    Only a small table is, or one in few large row groups; a table of many parts stays as it is.
+    Only a small table is, or one in few large row groups; a table of many parts stays as it is,
+    and so does what comes out of a shuffle, as its parts can't be counted without running it.
     """
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

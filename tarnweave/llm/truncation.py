@@ -92,7 +92,8 @@ def _codes(text: str) -> np.ndarray:
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of texts, each after as many start signs as the longest order, and where each text's symbols end."""
-    joined = "".join(f"\x00{_ADDRESS.sub(_address, t) if '://' in t else t}" for t in texts)
+    shown = (t.replace("\x00", " ") for t in texts)  # NUL is the sign of a start
+    joined = "".join(f"\x00{_ADDRESS.sub(_address, t) if '://' in t else t}" for t in shown)
     codes = _codes(joined)
     kinds = np.where(codes < (1 << 16), _CLASSES[np.minimum(codes, (1 << 16) - 1)], codes.astype(np.uint64) + np.uint64(16))
     kinds = kinds[kinds != _DROP]

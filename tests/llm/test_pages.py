@@ -260,12 +260,21 @@ def test_class_counts_decide(sf):
     assert whole(np.zeros_like(counts)) == 0 and whole(np.roll(counts, 77, axis=1)) < 0.2 * whole(counts)
 
 
+def test_odd_texts(spark):
+    """Signs without a class, of other planes, or none at all; a text of a million words."""
+    rows = [(1, "The quiet river follows the old road. " * 130_000), (2, ""), (3, None), (None, "x"), (4, "\x00 a\x00b"), (5, "…"), (6, "\ufffd"), (7, "🙂 a text with a smile 🙂"), (8, "   \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_text", F.lit("clash")).withColumn("_lang", F.lit("c"))
+    got = {r.doc_id: r.truncated for r in truncation.ending_scores(df).collect()}
+    assert set(got) == {1, None, 4, 5, 6, 7} and got[1] is False and got[6] is True
+
+
 def test_symbols():
     stream, ends = truncation.symbols(["Ab’c d12 “(X)”", "https://h.test/abc Zé"])
     pad = [truncation._START] * truncation.ORDERS[-1]
     a, up, sp, d = truncation._LOWER, truncation._UPPER, truncation._SPACE, truncation._DIGIT
     assert stream.tolist() == [*pad, up, sp, a, d, d, sp, 16 + ord("("), up, 16 + ord(")"), *pad, 16 + 0xE004, sp, up]
     assert ends.tolist() == [len(pad) + 9, len(stream)]
+    assert truncation.symbols(["a\x00b", "\x00", "", "🙂"])[0].tolist() == [*pad, a, sp, a, *pad, sp, *pad, *pad, 16 + ord("🙂")]
     marked, plain = truncation._end_keys([truncation._Ending("x " * 3000 + "(X)", "en"), truncation._Ending("", "en")])
     keys = truncation._class_keys(truncation.symbols(["x " * 3000 + "(X)"])[0])
     assert [int(plain[k][0]) for k in range(len(truncation.ORDERS))] == [int(keys[n][-1]) for n in truncation.ORDERS]
