@@ -9,8 +9,11 @@ a bound that follows from the sizes of the two sets alone:
   first ``|y| - ceil(t*|y|) + l`` elements, which in the smaller one are among the first
   ``|x| - ceil(2t/(1+t)*|x|) + l``. Only those entries of A are multiplied. Any global order
   gives the same result; rarity comes from a count sketch over all documents, sized to the input within a bound.
-* Pairs whose sizes differ by more than t allows are left out of the product; of the others the
-  overlap counts are accumulated, and pairs below l are discarded.
+* Pairs whose sizes differ by more than t allows are left out of the product. Each entry brings a
+  bitmap of its set's parities: where two bitmaps differ in more bits than the sets may differ in
+  elements, the pair is dropped as it is built. Without that the pairs that are shuffled would grow
+  almost as the square of the input. Of the others the overlap counts are accumulated, and pairs
+  below l are discarded.
 * What is left is verified exactly on the full sets.
 
 Texts with the same words are one class and enter the product once.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.llm.counters import packed, summed
 from tarnweave.llm.samples import spread
-from tarnweave.llm.words import WordHasher, mix, ngram_hashes, split_words
+from tarnweave.llm.words import TextHasher, mix, ngram_hashes, slices
 from tarnweave.session import cut
 
 #: The fewest counters of the sketch; it grows with the input up to 2**26.
@@ -38,15 +41,39 @@ SKETCH_BITS = 22
 COMMON = 4
 #: Entries of a column that are multiplied in one place, and pairs built at a time.
 CELL_ROWS, PRODUCT_STEP = 4096, 1_000_000
+#: 64-bit words of a set's parity bitmap.
+SIGN_WORDS = 4
 _FIXED = 1e-9
 
 
-def _word_sets(texts: list[str | None], n: int, min_words: int, hasher: WordHasher) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """Index, words and distinct sorted n-gram hashes of the texts that are long enough."""
-    for i, text in enumerate(texts):
-        words = split_words(text)
-        if len(words) >= max(min_words, n):
-            yield i, words, np.unique(ngram_hashes(hasher(words), n))
+def _word_sets(texts: list[str | None], n: int, min_words: int, hasher: TextHasher) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Index, word hashes and distinct sorted n-gram hashes of the texts that are long enough."""
+    texts = [t or "" for t in texts]
+    for start, stop in slices(texts):
+        found = [(i, words) for i in range(start, stop) if len(words := hasher(texts[i])) >= max(min_words, n)]
+        if found:
+            grams, at = ngram_hashes(np.concatenate([words for _, words in found]), n), 0
+            for i, words in found:
+                yield i, words, np.unique(grams[at : at + len(words) - n + 1])
+                at += len(words)
+
+
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """Whether an odd number of elements falls on each bit; two sets differ in as many elements as their bitmaps in bits, at least."""
+    odd = np.bincount((grams & np.uint64(64 * SIGN_WORDS - 1)).astype(np.int64), minlength=64 * SIGN_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _signs(rows: np.ndarray) -> pa.Array:
+    """Bitmaps as binary values of one length."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (8 * SIGN_WORDS)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _bitmaps(column: pa.Array) -> np.ndarray:
+    """The inverse of ``_signs``."""
+    size = 8 * SIGN_WORDS
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8, count=len(column) * size, offset=np.frombuffer(column.buffers()[1], np.int32)[column.offset]).view(np.uint64).reshape(-1, SIGN_WORDS) if len(column) else np.empty((0, SIGN_WORDS), np.uint64)
 
 
 _SCAN = "doc long, text_key binary, chunk int, packed binary"
@@ -61,12 +88,12 @@ def _scan(docs: DataFrame, n: int, min_words: int, bits: int) -> DataFrame:
     schema = pa.schema([("doc", pa.int64()), ("text_key", pa.binary()), ("chunk", pa.int32()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sums = WordHasher(), np.zeros(1 << bits, dtype=np.int32)
+        hasher, sums = TextHasher(), np.zeros(1 << bits, dtype=np.int32)
         for batch in batches:
             ids, owners, keys, found = batch.column(0).to_pylist(), [], [], []
             for i, words, grams in _word_sets(batch.column(1).to_pylist(), n, min_words, hasher):
                 owners.append(ids[i])
-                keys.append(xxhash.xxh3_128_digest(" ".join(words)))
+                keys.append(xxhash.xxh3_128_digest(words.tobytes()))
                 found.append(grams)
             if found:
                 at = (np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64)
@@ -101,7 +128,7 @@ def _sketch_bits(texts: DataFrame) -> int:
 
 
 def _prefix_rows(docs: DataFrame, n: int, min_words: int, t: float, sketch, bits: int, load: float) -> DataFrame:
-    """(cell, k, doc, size, head): the rarest n-grams of each set, as many as the bound asks for.
+    """(cell, k, doc, size, head, sign): the rarest n-grams of each set, as many as the bound asks for.
 
     ``k`` identifies the n-gram (44 hash bits and the level of its counter, which is a function of the
     hash). ``head``: it is in the shorter prefix that suffices for the smaller set of a pair.
@@ -109,12 +136,12 @@ def _prefix_rows(docs: DataFrame, n: int, min_words: int, t: float, sketch, bits
     more than CELL_ROWS expected entries is cut into blocks of documents, and each entry goes to
     every cell (block, block) of its row, so that no task gets a whole hot column.
     """
-    schema = pa.schema([("cell", pa.int64()), ("k", pa.int64()), ("doc", pa.int64()), ("size", pa.int32()), ("head", pa.bool_())])
+    schema = pa.schema([("cell", pa.int64()), ("k", pa.int64()), ("doc", pa.int64()), ("size", pa.int32()), ("head", pa.bool_()), ("sign", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, levels = WordHasher(), sketch.value
+        hasher, levels = TextHasher(), sketch.value
         for batch in batches:
-            ids, ks, docs_, sizes, heads = batch.column(0).to_pylist(), [], [], [], []
+            ids, ks, docs_, sizes, heads, signs = batch.column(0).to_pylist(), [], [], [], [], []
             for i, _, grams in _word_sets(batch.column(1).to_pylist(), n, min_words, hasher):
                 size = len(grams)
                 level = levels[(grams >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
@@ -128,9 +155,11 @@ def _prefix_rows(docs: DataFrame, n: int, min_words: int, t: float, sketch, bits
                 heads.append(head[many])
                 docs_.append(np.full(int(many.sum()), ids[i], dtype=np.int64))
                 sizes.append(np.full(int(many.sum()), size, dtype=np.int32))
+                signs.append(_parities(grams))
             if not ks:
                 continue
             k, doc, size, head = (np.concatenate(x) for x in (ks, docs_, sizes, heads))
+            sign, of = np.stack(signs), np.repeat(np.arange(len(ks)), [len(x) for x in ks])
             blocks = 1 + _entries(k >> 44, load) // CELL_ROWS
             cell = np.zeros(len(k), dtype=np.int64)
             hot = np.flatnonzero(blocks > 1)
@@ -141,11 +170,11 @@ def _prefix_rows(docs: DataFrame, n: int, min_words: int, t: float, sketch, bits
                 other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
                 pair_cell = 1 + np.minimum(me, other) * count + np.maximum(me, other)
                 keep = np.flatnonzero(blocks == 1)
-                k, doc, size, head = (np.concatenate([x[keep], x[at]]) for x in (k, doc, size, head))
+                k, doc, size, head, of = (np.concatenate([x[keep], x[at]]) for x in (k, doc, size, head, of))
                 cell = np.concatenate([cell[keep], pair_cell])
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(k), pa.array(doc), pa.array(size), pa.array(head)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(k), pa.array(doc), pa.array(size), pa.array(head), _signs(sign[of])], schema=schema)
 
-    return docs.mapInArrow(run, "cell long, k long, doc long, size int, head boolean")
+    return docs.mapInArrow(run, "cell long, k long, doc long, size int, head boolean, sign binary")
 
 
 def _block(doc: np.ndarray, blocks: np.ndarray) -> np.ndarray:
@@ -159,16 +188,18 @@ def _product(rows: DataFrame, t: float, load: float) -> DataFrame:
     ``least`` is how many the pair must have: COMMON, or what a very small set can have.
 
     Entries of one column and cell lie together in a partition. Within it the pairs are built
-    by index arithmetic, in steps of bounded size.
+    by index arithmetic, in steps of bounded size, as far as the larger set isn't too large. What
+    is passed on are those whose bitmaps differ in no more bits than t lets the sets differ.
     """
     together = rows.repartition("cell", "k").sortWithinPartitions("k", "cell", "size", "doc")
 
-    def pairs_of(k, cell, doc, size, head) -> Iterator[pa.RecordBatch]:
+    def pairs_of(k, cell, doc, size, head, sign) -> Iterator[pa.RecordBatch]:
         n = len(k)
         if n < 2:
             return
-        last = np.append(np.flatnonzero((k[1:] != k[:-1]) | (cell[1:] != cell[:-1])) + 1, n)
-        end = last[np.searchsorted(last, np.arange(n), "right")]
+        group = np.append(0, np.cumsum((k[1:] != k[:-1]) | (cell[1:] != cell[:-1]))) << 40
+        end = np.searchsorted(group + size, group + (size / t + _FIXED).astype(np.int64), "right")
+        words = np.ascontiguousarray(sign.T)
         times = np.where(head, end - np.arange(n) - 1, 0)
         start = 0
         steps = np.cumsum(times)
@@ -179,18 +210,24 @@ def _product(rows: DataFrame, t: float, load: float) -> DataFrame:
             own = times[start:stop]
             left = np.repeat(np.arange(start, stop), own)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
-            ok = (size[left] >= size[right] * t - _FIXED) & (doc[left] != doc[right])
+            bits = np.zeros(len(left), dtype=np.uint16)
+            for word in words:
+                bits += np.bitwise_count(word[left] ^ word[right])
+            near = bits <= (1 - t) / (1 + t) * (size[left] + size[right]) + _FIXED
+            left, right = left[near], right[near]
+            ok = doc[left] != doc[right]
             blocks = 1 + _entries(k[left] >> 44, load) // CELL_ROWS
             if (blocks > 1).any():
                 a, b = _block(doc[left], blocks), _block(doc[right], blocks)
                 ok &= (blocks == 1) | (1 + np.minimum(a, b) * blocks + np.maximum(a, b) == cell[left])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[left[ok]]), pa.array(doc[right[ok]]), pa.array(least[left[ok]])], names=["x", "y", "least"])
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(doc[left[ok]]), pa.array(doc[right[ok]]), pa.array(least[left[ok]])], names=["x", "y", "least"])
             start = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "cell", "doc", "size", "head")]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "cell", "doc", "size", "head")] + [_bitmaps(batch.column("sign"))]
             if rest is not None:
                 now = [np.concatenate([x, y]) for x, y in zip(rest, now, strict=True)]
             k, cell = now[0], now[1]
@@ -212,13 +249,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: float) -> DataFrame:
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known = WordHasher(), {}
+        hasher, known = TextHasher(), {}
 
         def grams(doc: int, text: str) -> np.ndarray:
             if doc not in known:
                 if len(known) > 2000:
                     known.clear()
-                known[doc] = np.unique(ngram_hashes(hasher(split_words(text)), n))
+                known[doc] = np.unique(ngram_hashes(hasher(text), n))
             return known[doc]
 
         for batch in batches:

@@ -61,6 +61,28 @@ class WordHasher:
         return out
 
 
+class TextHasher:
+    """Stable 64-bit hashes of the words of a text, by its tokens between white space, which are remembered.
+
+    The words are those of ``split_words``; 0 stands for a token without letters and digits.
+    """
+
+    def __init__(self, keep: int = 400_000):
+        self._known: dict[str, int] = {}
+        self._keep = keep
+
+    def __call__(self, text: str) -> np.ndarray:
+        known, tokens = self._known, text.split()
+        if len(known) > self._keep:
+            known.clear()
+        for t in tokens:
+            if t not in known:
+                word = t if t.isalnum() else _NOT_ALNUM.sub("", t)
+                known[t] = (xxhash.xxh3_64_intdigest(word.lower()) or 1) if word else 0
+        out = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+        return out[out != 0]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the word."""
     h = h ^ (h >> np.uint64(31))

@@ -92,3 +92,47 @@ def test_hot_columns_are_told_from_full_counters():
         hot = neardup._entries(neardup._levels(np.array([load + 500_000])).astype(np.int64), load)
         assert abs(hot[0] - 500_000) < 0.1 * (500_000 + load)
     assert (neardup._levels(np.array([0, 1, 2, 2**31])) == [0, 8, 13, 248]).all()
+
+
+def _blocks_of_words(documents=300, blocks=60, seed=3):
+    """Texts of seven of sixty passages: all runs are in many texts, but few texts have most of them in common."""
+    rng = random.Random(seed)
+    passages = [" ".join(f"b{b}w{k}" for k in range(10)) for b in range(blocks)]
+    return [(i, " ".join(rng.sample(passages, 7))) for i in range(documents)]
+
+
+def test_pairs_that_only_share_some_runs_are_dropped_where_they_are_built(spark):
+    """What the product passes on doesn't grow with the square of the texts that share a passage."""
+    import numpy as np
+
+    rows = [*_blocks_of_words(), (900, _blocks_of_words()[5][1] + " and two")]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    bits, t = neardup.SKETCH_BITS, 0.6
+    levels = np.full(1 << bits, 40, dtype=np.uint8)
+    entries = neardup._prefix_rows(docs, 3, 50, t, spark.sparkContext.broadcast(levels), bits, 0.0)
+    passed = {tuple(sorted((r.x, r.y))) for r in neardup._product(entries, t, 0.0).collect()}
+    true = brute(rows, 3, t, 50)
+    assert (5, 900) in true and true <= passed and len(passed) < 0.02 * len(rows) ** 2 / 2
+
+
+@pytest.mark.parametrize(("n", "t"), [(3, 0.6), (2, 0.3), (1, 0.8)])
+def test_bitmaps_never_refuse_a_pair(n, t):
+    """Two sets differ in as many elements as their bitmaps in bits, at least."""
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    for size in (1, 5, 40, 300, 3000):
+        x = rng.integers(0, 2**63, size, dtype=np.uint64)
+        y = np.unique(np.concatenate([x[: int(size * (1 - t / 2))], rng.integers(0, 2**63, size // 3, dtype=np.uint64)]))
+        x = np.unique(x)
+        assert np.bitwise_count(neardup._parities(x) ^ neardup._parities(y)).sum() <= len(np.setxor1d(x, y))
+
+
+def test_words_are_those_of_split_words():
+    from tarnweave.llm.words import TextHasher, WordHasher
+
+    text = "Ein Über-Fall, o'clock  \u0130x ΟΔΟΣ -- snake_case ... 12.5 Straße\u00a0x\u2028y \x00z \U0001d7d9 "
+    few = TextHasher(keep=1)
+    for hasher in (TextHasher(), few, few):
+        assert hasher(text).tolist() == WordHasher()(split_words(text)).tolist()
+    assert TextHasher()("").tolist() == TextHasher()(" -- ").tolist() == []
