@@ -102,6 +102,36 @@ def test_short_stuffing(spark, sf):
     assert texts_of(stuffing.stuffing_scores(df, model, id_col="seq", text_col="body"), "stuffed") == {i: w for i, _, w in rows}
 
 
+def test_the_prose_model_is_fitted_on_all_texts(spark):
+    """Words, endings, counts and bounds are those of all rows, however they are split; a sample of 4,000 has others."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    some = ["the", "of", *(f"{a}{b}{c}" for a in "bdfgk" for b in ("ar", "el", "on") for c in ("ing", "ed", "er", "s"))]
+    rows = [(" ".join(rng.choices(some, weights=range(len(some), 0, -1), k=rng.randrange(6, 14))) + f" {i}.", "EN " if i % 3 else None) for i in range(4600)]
+    df = spark.createDataFrame([*rows, (None, "en"), ("", "en"), rows[0]], "t string, lang string")
+    model = stuffing.fit_prose_model(df, text_col="t", language_col="lang")
+
+    rows = [*rows, ("", "en")]
+    expected = stuffing.ProseModel.fit([t for t, _ in rows], [(lang or "").lower()[:2] for _, lang in rows])
+    assert model == expected and model.function_words and model.endings and 0 < model.low < model.high
+    classes = [model.classes(t) for t, _ in rows]
+    others = stuffing.ProseModel(model.function_words, model.endings)
+    others.learn(stuffing.ClassCounts(Counter(x for own in classes[1:] for x in stuffing._triples(own))))
+    every = stuffing.ClassCounts(Counter(x for own in classes for x in stuffing._triples(own)))
+    assert every.costs_apart(classes[0]) == pytest.approx(others.costs_of(classes[0]))
+    assert model == stuffing.fit_prose_model(df.repartition(5), text_col="t", language_col="lang")
+
+
+def test_a_prose_model_without_prose(spark):
+    empty = spark.createDataFrame([(None, None)], "t string, lang string")
+    model = stuffing.fit_prose_model(empty, text_col="t", language_col="lang")
+    assert not model.function_words and not model.costs and model.high == float("inf")
+    pages = spark.createDataFrame([(1, "cheap watches best tickets " * 20)], "seq long, body string")
+    assert stuffing.stuffing_scores(pages, model, id_col="seq", text_col="body").where("stuffed").count() == 0
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>.x{}</style></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>
 <div class="c1">News › Shop › Headline here</div><p class="notice">We use cookies to improve your visit. Accept all or change your settings.</p>
 <section><h1>Headline here</h1><p class="by">By Ann Other on 2 May 2025</p><ul><li>Print</li><li>Copy link</li></ul>
